@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellara.llm import mixing, sharding
+from stellara.llm import bpe, mixing, sharding, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_byte_bpe": bpe.op2,
         "op3_sharding": sharding.op3,
+        "op4_token_counts": wordpiece.op4,
         "op6_mixing": mixing.op6,
     }
 
