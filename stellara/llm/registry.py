@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellara.llm import bpe, mixing, sharding, wordpiece
+from stellara.llm import bpe, mixing, sharding, simhash, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3,
         "op4_token_counts": wordpiece.op4,
         "op6_mixing": mixing.op6,
+        "op10_simhash": simhash.op10,
     }
 
 
