@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellara.llm import bpe, mixing, sharding, simhash, wordpiece
+from stellara.llm import bpe, lines, mixing, quality, sharding, simhash, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": bpe.op2,
         "op3_sharding": sharding.op3,
         "op4_token_counts": wordpiece.op4,
+        "op5_quality": quality.op5,
         "op6_mixing": mixing.op6,
+        "op9_line_dedup": lines.op9,
         "op10_simhash": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op9_line_dedup": lines.OP9_SQL}
