@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from stellara.llm.common import ship, table
 
-MAX_STATES = 200_000
-MAX_WORDS = 500_000
+MAX_STATES = 300_000
+MAX_WORDS = 1_200_000
 WORD_BYTES = 64
 START = -1
 ROOT = 0
@@ -123,33 +123,45 @@ class Transducer:
             else:
                 j += 1
 
+    @staticmethod
+    def common(paths: list[tuple[int, ...]]) -> int:
+        """How many tokens all paths begin with."""
+        first, last = min(paths), max(paths)
+        n = 0
+        while n < len(first) and n < len(last) and first[n] == last[n]:
+            n += 1
+        return n
+
     def determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The transition of one more byte: the next state, and the tokens that are now certain."""
-        live, ends, children, tokens = [], [], self.child, self.token
+        live, end, ends = [], None, 0
+        children, tokens, stable = self.child, self.token, self.stable
         for node, path in self.states[state]:
             child = children.get(node << 8 | byte)
             if child is None:
                 continue
             live.append((child, path))
             token = tokens[child]
-            if token != START and self.fits(path[-1], token):
-                ends.append((*path, token))
-        if len(ends) != 1:
+            if token >= 0:
+                fits = stable.get(path[-1] << 32 | token)
+                if fits or fits is None and self.fits(path[-1], token):
+                    end, ends = (*path, token), ends + 1
+        if ends != 1:
             raise ValueError("these ranks have no unique stable split")
-        live.append((ROOT, ends[0]))
-        paths = [p for _, p in live]
         sure = 1
-        for column in zip(*paths, strict=False):
-            if any(x != column[0] for x in column):
-                break
-            sure += 1
-        sure -= 1
-        following = tuple((node, p[sure - 1 :]) for node, p in live) if sure > 1 else tuple(live)
+        if not live[0][0] or len(live[0][1]) > 1 or not live[1:]:
+            sure = self.common([*(p for _, p in live), end])
+        emitted = end[1:sure]
+        if sure > 1:
+            live = [(node, p[sure - 1 :]) for node, p in live]
+            end = end[sure - 1 :]
+        live.append((ROOT, end))
+        following = tuple(live)
         number = self.number.get(following)
         if number is None:
             number = self.number[following] = len(self.states)
             self.states.append(following)
-        edge = self.edges[state << 8 | byte] = (number, paths[0][1:sure])
+        edge = self.edges[state << 8 | byte] = (number, emitted)
         return edge
 
     def encode(self, piece: bytes) -> list[int]:
