@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellara.llm import bpe, lines, mixing, quality, sharding, simhash, toxicity, wordpiece
+from stellara.llm import bpe, iblt, lines, mixing, quality, sharding, simhash, toxicity, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_iblt": iblt.op1,
         "op2_byte_bpe": bpe.op2,
         "op3_sharding": sharding.op3,
         "op4_token_counts": wordpiece.op4,
