@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellara.llm import bpe, iblt, lines, mixing, quality, sharding, simhash, toxicity, wordpiece
+from stellara.llm import bpe, hnsw, iblt, lines, mixing, quality, sharding, simhash, toxicity, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5,
         "op6_mixing": mixing.op6,
         "op7_toxicity": toxicity.op7,
+        "op8_hnsw": hnsw.op8,
         "op9_line_dedup": lines.op9,
         "op10_simhash": simhash.op10,
     }
