@@ -31,13 +31,17 @@ def ship(spark: SparkSession) -> None:
     sc._stellara_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir; own folder only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all machines share: spark.checkpoint.dir, or an own one where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stellara-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stellara-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: what comes after reads files, whatever executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
