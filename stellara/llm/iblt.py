@@ -1,7 +1,6 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs (pieces of them: up to PIECE code points, ending with a sentence or a line where they can) are
-hashed to digests. A sketch has TABLES rows of WIDTH cells; a digest goes to one cell of each row, adding
+A text's paragraphs, its lines, those over PIECE code points in pieces of that length, are hashed to digests. A sketch has TABLES rows of WIDTH cells; a digest goes to one cell of each row, adding
 to its count and, by exclusive or, to its key and its check. Sketches of two versions subtract cell by
 cell; what both have is gone, and cells with one digest left are peeled until the differing digests are recovered or
 nothing more comes off. Then a larger sketch is tried: 4 times the cells, split by a digest's low bits into
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 
 from stellara.llm.common import table
 
-PIECE = 200
-PIECES = f"[^.!?\\n]{{1,{PIECE}}}[.!?\\n]*|[.!?\\n]+"
-TABLES, WIDTH, BITS = 4, 8, 3
+PIECE = 480
+PIECES = f"[^\\n]{{1,{PIECE}}}\\n*|\\n+"
+TABLES, WIDTH, BITS = 3, 16, 4
 LEVELS = 9
 ROUNDS = 16
 #: Rows of a bucket of neighbours at least, and buckets at most: their first rows are broadcast.
