@@ -91,7 +91,7 @@ def chunks(halves: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Logits of whole texts, worked off in pieces of about PIECE bytes; longer texts carry their maxima along."""
+    """Logits of whole texts, worked off in pieces of about PIECE bytes; a longer text's halves are gathered from several."""
     out, at = np.zeros(len(texts)), 0
     while at < len(texts):
         end, size = at, 0
@@ -99,11 +99,10 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
             size += len(texts[end])
             end += 1
         if end == at + 1 and len(texts[at]) > 2 * PIECE:
-            best, text, step = np.full(FILTERS, -1.0, np.float32), texts[at], PIECE - PIECE % HALF
-            for i in range(0, len(text), step):
-                flat, first = lay_out([text[max(0, i - HALF) : i + step + WIDTH]])
-                best = np.maximum(best, chunks(responses(net, flat), first).max(axis=0))
-            out[at] = best @ net.out + net.bias[0]
+            flat, first = lay_out(texts[at:end])
+            step = PIECE - PIECE % HALF
+            halves = np.concatenate([responses(net, flat[i : i + step + WIDTH]) for i in range(0, len(flat) - WIDTH, step)])
+            out[at] = chunks(halves, first).max(axis=0) @ net.out + net.bias[0]
         else:
             flat, first = lay_out(texts[at:end])
             pooled = np.maximum.reduceat(chunks(responses(net, flat), first), first[:-1], axis=0)

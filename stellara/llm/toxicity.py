@@ -37,9 +37,11 @@ SAMPLE = (3000, 1500)
 STEMS = (4, 5, 6, 7)
 TIMES = (2, 4, 8)
 VOTERS, PER_VOTER = 8, 12
-LEAST_TEXTS, LEAST_ODDS = 4, 3.0
+LEAST_TEXTS, LEAST_ODDS, VOTER_G, FEATURE_G = 4, 3.0, 20.0, 12.0
 ROUNDS = 30
-STEPS, PENALTY = 250, 0.0008
+STEPS, PENALTY = 250, 0.01
+#: Log odds that a sample's own label adds to its posterior.
+LABEL_ODDS = 2.5
 THRESHOLD = 0.3
 MAX_WORDS = 500_000
 
@@ -73,17 +75,29 @@ def feature_sets(texts: list[str]) -> list[set[str]]:
     return out
 
 
-def voters(sets: list[set[str]], y: np.ndarray) -> list[frozenset[str]]:
-    """Lexicon and stem voters: the most telling features of each kind, dealt in turn."""
+def telling(sets: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, float]]:
+    """(log odds, G statistic) of each feature that LEAST_TEXTS texts have: how far labels depend on it."""
     on, off = Counter(), Counter()
     for own, label in zip(sets, y, strict=True):
-        (on if label else off).update(own)
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    odds = {f: math.log((c + 0.5) / (n1 + 1)) - math.log((off[f] + 0.5) / (n0 + 1)) for f, c in on.items() if c >= LEAST_TEXTS}
+        (on if label > 0.5 else off).update(own)
+    n1 = max(float((y > 0.5).sum()), 1.0)
+    n0 = max(len(y) - n1, 1.0)
+    out = {}
+    for f in on.keys() | off.keys():
+        c, d = on[f], off[f]
+        if c + d >= LEAST_TEXTS:
+            share = (c + d) / (n1 + n0)
+            g = 2 * sum(k * math.log(k / e) for k, e in ((c, n1 * share), (d, n0 * share), (n1 - c, n1 * (1 - share)), (n0 - d, n0 * (1 - share))) if k > 0 and e > 0)
+            out[f] = (math.log((c + 0.5) / (n1 + 1)) - math.log((d + 0.5) / (n0 + 1)), g)
+    return out
+
+
+def voters(told: dict[str, tuple[float, float]]) -> list[frozenset[str]]:
+    """Lexicon and stem voters: the most telling features of each kind, dealt in turn."""
     out = [frozenset(INSULTS[i::3]) for i in range(3)]
     for stems in (False, True):
-        told = sorted((f for f, o in odds.items() if o >= LEAST_ODDS and ("*" in f) == stems), key=lambda f: (-odds[f] * math.sqrt(on[f]), f))[: VOTERS * PER_VOTER]
-        out += [frozenset(told[i::VOTERS]) for i in range(VOTERS) if told[i::VOTERS]]
+        best = sorted((f for f, (odds, g) in told.items() if odds >= LEAST_ODDS and g >= VOTER_G and ("*" in f) == stems), key=lambda f: (-told[f][1], f))[: VOTERS * PER_VOTER]
+        out += [frozenset(best[i::VOTERS]) for i in range(VOTERS) if best[i::VOTERS]]
     return out
 
 
@@ -94,7 +108,9 @@ def votes(texts: list[str], sets: list[set[str]], held: list[frozenset[str]]) ->
 
 
 def label_model(v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Posterior of label 1 for each row of votes, by expectation maximisation from the labels on."""
+    """Posterior of label 1 for each row of votes, by expectation maximisation from the labels on, which
+    stay in as one more voter of fixed accuracy: else few rows let the classes drift to what splits them best."""
+    label = LABEL_ODDS * np.where(y > 0, 1.0, -1.0)
     post, w = np.where(y > 0, 0.9, 0.1), np.ones(v.shape[1])
     for _ in range(ROUNDS):
         share = post.mean()
@@ -106,7 +122,7 @@ def label_model(v: np.ndarray, y: np.ndarray) -> np.ndarray:
         np.fill_diagonal(together, 0)
         w = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
         fired, silent = w * np.log(rate1 / rate0), w * np.log((1 - rate1) / (1 - rate0))
-        z = math.log(share / (1 - share)) + v @ (fired - silent) + silent.sum()
+        z = math.log(share / (1 - share)) + v @ (fired - silent) + silent.sum() + label
         now = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(now - post).max() < 1e-4:
             break
@@ -115,9 +131,8 @@ def label_model(v: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def logistic(sets: list[set[str]], target: np.ndarray) -> tuple[dict[str, float], float]:
-    """Weights and bias by proximal AdaGrad over all rows at once; soft targets."""
-    seen = Counter(f for own in sets for f in own)
-    number = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= LEAST_TEXTS))}
+    """Weights and bias by proximal AdaGrad over all rows at once; soft targets, telling features only."""
+    number = {f: i for i, f in enumerate(sorted(f for f, (_, g) in telling(sets, target).items() if g >= FEATURE_G))}
     row = np.repeat(np.arange(len(sets)), [sum(f in number for f in own) for own in sets])
     column = np.array([number[f] for own in sets for f in own if f in number], dtype=np.int64)
     w, square, bias, bias_square = np.zeros(len(number)), np.full(len(number), 1e-8), float(np.log(target.mean() / (1 - target.mean()))), 1e-8
@@ -128,7 +143,7 @@ def logistic(sets: list[set[str]], target: np.ndarray) -> tuple[dict[str, float]
         square += grad * grad
         rate = 0.3 / np.sqrt(square)
         w -= rate * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY / math.sqrt(len(sets)), 0)
         bias_square += g.sum() ** 2
         bias -= 0.1 * g.sum() / math.sqrt(bias_square)
     return {f: float(w[i]) for f, i in number.items() if w[i]}, bias
@@ -143,7 +158,7 @@ def fit(texts: list[str], y: np.ndarray, odds: float) -> tuple[dict[str, float],
     if not 0 < ones < len(y):
         return {}, odds
     sets = feature_sets(texts)
-    post = label_model(votes(texts, sets, voters(sets, y)), y)
+    post = label_model(votes(texts, sets, voters(telling(sets, y))), y)
     weights, bias = logistic(sets, post)
     return weights, bias + odds - math.log(ones / (len(y) - ones))
 
