@@ -54,8 +54,9 @@ def fresh(seed: int = 1) -> Network:
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded with WIDTH zeros or more to whole halves; and where each text's halves begin."""
-    halves = np.array([(len(t) + WIDTH + HALF - 1) // HALF for t in texts], dtype=np.int64)
+    """All bytes, each text padded with WIDTH zeros or more to whole halves and followed by a half of zeros, so that
+    no filter reads into the next text; and where each text's halves begin."""
+    halves = np.array([(len(t) + WIDTH + HALF - 1) // HALF + 1 for t in texts], dtype=np.int64)
     first = np.concatenate(([0], np.cumsum(halves)))
     flat = np.zeros(int(first[-1]) * HALF + WIDTH, np.uint8)
     for t, at in zip(texts, (first[:-1] * HALF).tolist(), strict=True):
@@ -81,12 +82,13 @@ def responses(net: Network, flat: np.ndarray, keep: list | None = None) -> np.nd
 
 
 def chunks(halves: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Row i: the mean of halves i and i + 1; a text's last chunk is its last half alone if it has no other."""
+    """Row i: the mean of halves i and i + 1 of a text, or its only half; -1 where there is no chunk."""
     out = halves.copy()
     out[:-1] += halves[1:]
     out *= 0.5
     last = first[1:] - 1
-    out[last] = np.where((np.diff(first) == 1)[:, None], halves[last], -1.0)
+    out[last] = -1.0
+    out[last - 1] = np.where((np.diff(first) == 2)[:, None], halves[last - 1], -1.0)
     return out
 
 
@@ -116,7 +118,7 @@ def gradients(net: Network, texts: list[bytes], y: np.ndarray) -> list[np.ndarra
     keep: list = []
     chunked = chunks(responses(net, flat, keep), first)
     pooled = np.maximum.reduceat(chunked, first[:-1], axis=0)
-    p = 1 / (1 + np.exp(-(pooled @ net.out + net.bias[0])))
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias[0], -60, 60)))
     d = ((p - y) / len(y)).astype(np.float32)
     d_pool = d[:, None] * net.out
     d_half = np.zeros_like(chunked)
@@ -124,7 +126,7 @@ def gradients(net: Network, texts: list[bytes], y: np.ndarray) -> list[np.ndarra
     for k in range(len(texts)):
         a, b = int(first[k]), int(first[k + 1])
         top = a + chunked[a:b].argmax(axis=0)
-        if b - a == 1:
+        if b - a == 2:
             d_half[top, columns] += d_pool[k]
         else:
             d_half[top, columns] += 0.5 * d_pool[k]

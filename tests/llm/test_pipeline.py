@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     old = {r["doc_id"]: r["text"] for r in before.collect()}
     assert all(set((r["text"] or "").split("\n")) <= set((old[r["doc_id"]] or "").split("\n")) | {""} for r in after.collect())
     before, after = seen["simhash_dedup"]
-    groups = {r["component"] for r in simhash.near_duplicates(before).collect()}
+    groups = {r["component"] for r in simhash.near_duplicates(before, words=5, bits=simhash.within(0.8, 4), lanes=4).collect()}
     assert Counter(r["doc_id"] for r in after.collect()) == Counter(groups)
     before, after = seen["mixing"]
     assert {r["doc_id"] for r in after.collect()} <= {r["doc_id"] for r in before.collect()}
