@@ -17,6 +17,7 @@ null; an empty table gives an empty result; other columns do no harm.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -40,13 +41,15 @@ RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = tuple(combinations(range(len(SEGMENTS)), 2))
 RUN = 64
+KEY_LANES, LOOSE = 2, 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The SimHash of a UTF-8 text: XXH64 of its word shingles, a bit set where over half of them have it."""
+def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
+    """The SimHash of a UTF-8 text, 64 bits a lane: bits set where over half of its word shingles have them.
+    The first lane's hash is XXH64; further lanes mix it again."""
     found = text.lower().split()
     if not found:
-        return 0
+        return [0] * lanes
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -54,25 +57,40 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
         starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, total = xxhash.xxh64_intdigest, np.zeros((lanes, 64), np.int64)
     for at in range(0, len(starts), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
         hashes = np.array([digest(line[s:e], SEED) for s, e in spans], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8")[0])
+        for lane in range(lanes):
+            if lane:
+                hashes = mixed(hashes)
+            total[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(starts), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """key and fp, the fingerprint as a signed 64-bit number."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits from 64: two rounds of multiplying by an odd number and folding the high bits down."""
+    for _ in range(2):
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h = h ^ (h >> np.uint64(29))
+    return h
+
+
+def lanes_of(n: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, n))]
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """key and fp (fp1, ...), the fingerprint as signed 64-bit numbers."""
     ship(docs.sparkSession)
-    rows = docs.select(key, F.col(text).cast("binary").alias("__text"))
+    rows, names = docs.select(key, F.col(text).cast("binary").alias("__text")), lanes_of(lanes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py() or b"", words) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
+            fps = np.array([fingerprint(x.as_py() or b"", words, lanes) for x in batch.column(1)], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i]) for i in range(lanes))], [key, *names])
 
-    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def remainder(word: int) -> int:
@@ -150,59 +168,66 @@ class Forest:
             self.fresh.append((a, b))
 
 
-def compare(keys: np.ndarray, fps: np.ndarray, bits: int, forest: Forest) -> None:
-    """Link what is within `bits` in each run of equal keys."""
-    edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1)) if len(keys) else np.zeros(1, int)
+def compare(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, bits: int, forest: Forest) -> None:
+    """Link the nodes whose fingerprints (a row of lanes each) are within `bits` in each run of equal keys."""
+    if not len(keys):
+        return
+    edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
     lengths = np.diff(edges)
     for k in np.flatnonzero(lengths > RUN).tolist():
-        spread(fps[edges[k] : edges[k + 1]], bits, forest)
-    inside = np.repeat(lengths <= RUN, lengths)
-    at, d = np.flatnonzero(inside), 1
+        spread(nodes[edges[k] : edges[k + 1]], fps[edges[k] : edges[k + 1]], bits, forest)
+    at, d = np.flatnonzero(np.repeat(lengths <= RUN, lengths)), 1
     while len(at):
         at = at[at + d < len(keys)]
         at = at[keys[at] == keys[at + d]]
-        for i in at[np.bitwise_count(fps[at] ^ fps[at + d]) <= bits].tolist():
-            forest.link(int(fps[i]), int(fps[i + d]))
+        for i in at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1) <= bits].tolist():
+            forest.link(int(nodes[i]), int(nodes[i + d]))
         d += 1
 
 
-def spread(fps: np.ndarray, bits: int, forest: Forest) -> None:
+def spread(nodes: np.ndarray, fps: np.ndarray, bits: int, forest: Forest) -> None:
     """The same for one long run: what is linked once leaves the rows that are still to be compared."""
-    rest = fps
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            one = front.pop()
-            hit = np.bitwise_count(rest ^ one) <= bits
+    while len(nodes):
+        front, nodes, fps = [(int(nodes[0]), fps[0])], nodes[1:], fps[1:]
+        while front and len(nodes):
+            one, own = front.pop()
+            hit = np.bitwise_count(fps ^ own).sum(axis=1) <= bits
             if hit.any():
-                for x in rest[hit].tolist():
-                    forest.link(int(one), x)
-                front.extend(rest[hit])
-                rest = rest[~hit]
+                for x, f in zip(nodes[hit].tolist(), fps[hit], strict=True):
+                    forest.link(one, x)
+                    front.append((x, f))
+                nodes, fps = nodes[~hit], fps[~hit]
+
 
+def links(classes: DataFrame, bits: int = BITS, lanes: int = 1) -> DataFrame:
+    """(a, b): links between the nodes of classes(node, fp, ...), enough to connect what is within `bits` and shares a key.
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of fps(fp), enough to connect all within `bits`."""
-    if not 0 <= bits <= BITS:
-        raise ValueError(f"bits: 0 to {BITS}; the keys find no more")
-    ship(fps.sparkSession)
+    With one lane, a node is its fingerprint, and up to BITS bits no link is missed.
+    """
+    ship(classes.sparkSession)
+    names = lanes_of(lanes) if lanes == 1 else ["node", *lanes_of(lanes)]
+    skip = len(names) - lanes
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            for keys, row in golay().keys(own):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[row].view(np.int64))], ["k", "fp"])
+            own = [c.to_numpy() for c in batch.columns]
+            for keys, row in golay().keys(own[skip].view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[row]) for c in own)], ["k", *names])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), []
 
+        def settle() -> None:
+            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            compare(k, f[:, 0], f[:, skip:], bits, forest)
+
         def fresh() -> pa.RecordBatch:
             out = np.array(forest.fresh, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             forest.fresh = []
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
         for batch in batches:
-            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            k, f = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
             if not len(k):
                 continue
             last = int(np.searchsorted(k, k[-1]))
@@ -210,36 +235,67 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 held.append((k, f))
                 continue
             held.append((k[:last], f[:last]))
-            compare(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, forest)
+            settle()
             held = [(k[last:], f[last:])]
             if forest.fresh:
                 yield fresh()
         if held:
-            compare(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, forest)
+            settle()
         yield fresh()
 
-    keyed = fps.select("fp").mapInArrow(spell, "k int, fp long")
+    keyed = classes.select(*names).mapInArrow(spell, "k int, " + ", ".join(f"{n} long" for n in names))
     return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def within(similarity: float, lanes: int) -> int:
+    """Differing bits to allow for shingle sets of a Jaccard similarity: the mean of equally large sets and one deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * lanes
+    return int(n * share + math.sqrt(n * share * (1 - share)))
+
+
+def wide_links(classes: DataFrame, bits: int, lanes: int) -> DataFrame:
+    """(a, b): links between classes(node, fp, fp1, ...) within `bits` in all, by the keys of KEY_LANES of the lanes.
+
+    First each of these lanes links what is within LOOSE bits in it alone, its keys carrying nothing else. Only
+    classes that this links to any other are keyed with all their lanes and compared in full.
+    """
+    names, out = lanes_of(lanes), None
+    for lane in names[:KEY_LANES]:
+        near = links(classes.select(F.col(lane).alias("fp")).distinct(), LOOSE)
+        met = cut(near.select(F.explode(F.array("a", "b")).alias("__fp")).distinct())
+        some = classes.join(met, F.col(lane) == F.col("__fp"), "left_semi")
+        turned = some.select("node", *[F.col(n).alias(to) for n, to in zip([lane, *(n for n in names if n != lane)], names, strict=True)])
+        own = links(turned, bits, lanes)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, lanes: int = 1) -> DataFrame:
     """key, fp and component: the smallest key that links lead to."""
-    marks = cut(fingerprints(docs, key, text, words))
-    classes = cut(marks.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    names = lanes_of(lanes)
+    node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
+    marks = cut(fingerprints(docs, key, text, words, lanes).withColumn("node", node))
+    classes = cut(marks.groupBy("node", *names).agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
     known = classes.agg(F.sum("n")).first()[0] or 0
     spread_out = classes.repartition(partitions(docs.sparkSession))
-    found = components(links(spread_out, bits))
+    found = components(links(spread_out, bits) if lanes == 1 else wide_links(spread_out, bits, lanes))
     rooted = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
-    member = cut(rooted.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "least"))
+    member = cut(rooted.join(classes, "node").select("node", "root", "least"))
     lowest = member.groupBy("root").agg(F.min("least").alias("low"))
-    low = member.join(lowest, "root").select(F.col("fp").alias("__fp"), "low")
-    named = cut(classes.join(low, F.col("fp") == F.col("__fp"), "left").select("fp", F.coalesce("low", "least").alias("component"), "n"))
-    return join_classes(marks, named, "fp", known, "n").select(key, "fp", "component")
+    low = member.join(lowest, "root").select(F.col("node").alias("__node"), "low")
+    named = cut(classes.join(low, F.col("node") == F.col("__node"), "left").select("node", F.coalesce("low", "least").alias("component"), "n"))
+    return join_classes(marks.select(key, "fp", "node"), named, "node", known, "n").select(key, "fp", "component")
+
 
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """One document of each group stays: the one with the smallest key (one of its rows, if they repeat).
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One document of each group stays: the one with the smallest key (one of its rows, if they repeat)."""
-    found = cut(near_duplicates(docs, key, text, words, bits))
+    Texts link if their fingerprints of `lanes` words of 64 bits are as near as shingle sets of the
+    similarity are in the mean, and a deviation more. Golay keys of KEY_LANES lanes find the pairs to compare:
+    all within 4 bits in one of these lanes, most up to 10.
+    """
+    found = cut(near_duplicates(docs, key, text, words, within(similarity, lanes), lanes))
     kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__key"))
     out = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
     repeats = found.groupBy(key).count().where("count > 1").limit(1).count()
