@@ -239,7 +239,7 @@ def pair_links(classes: DataFrame, n: int, least: float) -> DataFrame:
     def search(key: tuple, queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(graphs):
             return pd.DataFrame({"a": [], "b": [], "w": []}).astype({"a": "int64", "b": "Int64", "w": "int64"})
-        g = graphs.iloc[0]
+        g, queries = graphs.iloc[0], queries.sort_values("rep")
         x = np.frombuffer(g["x"], np.float64).reshape(-1, int(key[0]))
         reps, ws = np.frombuffer(g["reps"], np.int64), np.frombuffer(g["ws"], np.int64)
         graph = Graph.unpack(g["graph"], x.astype(np.float32))

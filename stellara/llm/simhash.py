@@ -244,7 +244,8 @@ def links(classes: DataFrame, bits: int = BITS, lanes: int = 1) -> DataFrame:
         yield fresh()
 
     keyed = classes.select(*names).mapInArrow(spell, "k int, " + ", ".join(f"{n} long" for n in names))
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(meet, "a long, b long")
+    # fully sorted, so that a task that is run again gives the same forest
+    return keyed.repartition("k").sortWithinPartitions("k", *names).mapInArrow(meet, "a long, b long")
 
 
 def within(similarity: float, lanes: int) -> int:
