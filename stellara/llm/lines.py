@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellara.llm.common import table
+from stellara.llm.common import cut, table
 
 LEAD = 3
 BLOCKS = 4
@@ -32,34 +32,38 @@ SPACE = "[ \\t\\x0B\\f\\r]+"
 
 
 def _tokens(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(line, SPACE, " "))
+    """The tokens of a line, white space at its ends left off; costly patterns run only where they can match."""
+    plain = F.trim(F.when(line.rlike("  |[\\t\\x0B\\f\\r]"), F.regexp_replace(line, SPACE, " ")).otherwise(line))
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
     return F.split(masked, " ", -1)
 
 
-def _templates(tokens: Column, n: Column) -> Column:
-    """Hashes of all templates that a line stands under."""
-    size = F.ceil(n / BLOCKS).cast("int")
-    blocks = [F.slice(tokens, F.lit(1) + size * i, size) for i in range(BLOCKS)]
-    exact = F.xxhash64(F.lit("line"), n, tokens)
-    open_ = [F.xxhash64(F.lit(f"blocks {i} {j}"), n, F.slice(tokens, 1, LEAD), blocks[i], blocks[j]) for i, j in combinations(range(BLOCKS), 2)]
-    return F.when(n >= BLOCK_TOKENS, F.array(exact, *open_)).otherwise(F.array(exact))
+def _templates(n: Column) -> Column:
+    """Hashes of all templates that a line stands under, from those of its blocks; none for a blank line."""
+    exact = F.xxhash64(F.lit("line"), n, F.col("__blocks"))
+    open_ = [F.xxhash64(F.lit(f"blocks {i} {j}"), n, F.col("__lead"), F.col("__blocks")[i], F.col("__blocks")[j]) for i, j in combinations(range(BLOCKS), 2)]
+    none = F.array().cast("array<bigint>")
+    return F.when(n >= BLOCK_TOKENS, F.array(exact, *open_)).when(n > 0, F.array(exact)).otherwise(none)
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """__doc, __line (a hash), __n (tokens), __t (a template): a row for each document, different line and template."""
+    """__doc, __line (a hash), __n (tokens), __ts (templates): a row for each document and different line; checkpointed."""
     own = docs.select(F.col(key).alias("__doc"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("__text"))
     cut_up = own.select("__doc", F.xxhash64("__text").alias("__line"), _tokens(F.col("__text")).alias("__tokens"))
-    sized = cut_up.withColumn("__n", F.when(F.element_at("__tokens", 1) == "", 0).otherwise(F.size("__tokens"))).where("__n > 0")
-    return sized.select("__doc", "__line", "__n", F.explode(_templates(F.col("__tokens"), F.col("__n"))).alias("__t"))
+    sized = cut_up.withColumn("__n", F.when(F.get("__tokens", F.lit(0)) == "", 0).otherwise(F.size("__tokens")))
+    size = F.ceil(F.col("__n") / BLOCKS).cast("int")
+    blocks = F.array(*[F.xxhash64(F.slice("__tokens", F.lit(1) + size * i, size)) for i in range(BLOCKS)])
+    hashed = sized.select("__doc", "__line", "__n", blocks.alias("__blocks"), F.xxhash64(F.slice("__tokens", 1, LEAD)).alias("__lead"))
+    return cut(hashed.select("__doc", "__line", "__n", _templates(F.col("__n")).alias("__ts")))
 
 
 def recurring(rows: DataFrame) -> DataFrame:
     """__doc, __line of the lines to be dropped."""
-    known = rows.groupBy("__t").agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    known = rows.select("__doc", "__n", F.explode("__ts").alias("__t")).groupBy("__t").agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__lines"), F.min("__n").alias("__n"))
     enough = F.when(F.col("__n") < BLOCK_TOKENS, F.col("__lines") >= SHORT_LINES).otherwise(F.col("__lines") > 1)
-    later = F.col("__first").isNotNull() & (F.col("__doc").isNull() | (F.col("__doc") > F.col("__first")))
-    return rows.join(known.where("__lines > 1"), "__t").where(enough & later).select("__doc", "__line")
+    again = known.where(enough & F.col("__first").isNotNull()).select("__t", "__first")
+    later = F.col("__doc").isNull() | (F.col("__doc") > F.col("__first"))
+    return rows.select("__doc", "__line", F.explode("__ts").alias("__t")).join(again, "__t").where(later).select("__doc", "__line")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
