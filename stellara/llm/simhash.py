@@ -259,12 +259,14 @@ def wide_links(classes: DataFrame, bits: int, lanes: int) -> DataFrame:
     """(a, b): links between classes(node, fp, fp1, ...) within `bits` in all, by the keys of KEY_LANES of the lanes.
 
     First each of these lanes links what is within LOOSE bits in it alone, its keys carrying nothing else. Only
-    classes that this links to any other are keyed with all their lanes and compared in full.
+    classes that this links to any other, or that share their value of the lane, are keyed with all their lanes and
+    compared in full.
     """
     names, out = lanes_of(lanes), None
     for lane in names[:KEY_LANES]:
-        near = links(classes.select(F.col(lane).alias("fp")).distinct(), LOOSE)
-        met = cut(near.select(F.explode(F.array("a", "b")).alias("__fp")).distinct())
+        values = classes.groupBy(F.col(lane).alias("fp")).agg(F.count(F.lit(1)).alias("__n"))
+        near = links(values.select("fp"), LOOSE).select(F.explode(F.array("a", "b")).alias("__fp"))
+        met = cut(near.unionByName(values.where("__n > 1").select(F.col("fp").alias("__fp"))).distinct())
         some = classes.join(met, F.col(lane) == F.col("__fp"), "left_semi")
         turned = some.select("node", *[F.col(n).alias(to) for n, to in zip([lane, *(n for n in names if n != lane)], names, strict=True)])
         own = links(turned, bits, lanes)

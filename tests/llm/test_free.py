@@ -221,6 +221,20 @@ def test_wide_fingerprints_follow_similarity():
     assert len(near) > 15 and np.mean(near) > 0.9 and np.mean(far) < 0.1
 
 
+def test_equal_lanes_do_not_hide_a_near_copy(spark):
+    rnd = random.Random(5)
+    words = [f"{rnd.choice('abcdefgh')}{rnd.randrange(900)}" for _ in range(10_000)]
+    own, at = simhash.fingerprint(" ".join(words).encode(), 5, 4), 0
+    while True:
+        other = " ".join([*words[:at], "new", *words[at + 1 :]])
+        fps = simhash.fingerprint(other.encode(), 5, 4)
+        if fps[:2] == own[:2] and fps != own:
+            break
+        at += 7
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, other)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.dedup(docs).collect()] == [1]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
