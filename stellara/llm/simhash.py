@@ -9,6 +9,9 @@ fingerprints have. Syndromes list the error patterns that lead to such codewords
 Distinct fingerprints are dealt by key and sorted; runs of a key are compared bit by bit. Only links that
 join two trees of a task's forest leave it, so a group of copies gives no pairs but a tree.
 
+The pipeline's stage asks for similarity 0.8, where fingerprints are too coarse to find or to judge: there, bands of
+minima of the shingle sets propose pairs, and the sets themselves decide.
+
 Defined cases: a null or empty text, and one of separators only, has the fingerprint 0 and is linked like any
 other; fewer words than a shingle's are one shingle; texts of any length are read whole; rows that repeat a
 doc_id are of one component if their fingerprints are; a null doc_id never names a component unless all its ids are
@@ -18,7 +21,8 @@ null; an empty table gives an empty result; other columns do no harm.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -41,7 +45,9 @@ RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = tuple(combinations(range(len(SEGMENTS)), 2))
 RUN = 64
-KEY_LANES, LOOSE = 2, 16
+SIMILARITY = 0.8
+#: Of pairs at the similarity, bands miss (1 - 0.8^5)^30 = 0.0007 %.
+BANDS, ROWS, SLICE, BATCH = 30, 5, 2048, 256
 
 
 def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
@@ -255,50 +261,127 @@ def within(similarity: float, lanes: int) -> int:
     return int(n * share + math.sqrt(n * share * (1 - share)))
 
 
-def wide_links(classes: DataFrame, bits: int, lanes: int) -> DataFrame:
-    """(a, b): links between classes(node, fp, fp1, ...) within `bits` in all, by the keys of KEY_LANES of the lanes.
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The sorted, different hashes of a text's word shingles; none for a text without words."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    line, n = b" ".join(found), max(len(found) - words + 1, 1)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    spans = zip([0, *(ends[: n - 1] + 1).tolist()], ends[min(words, len(found)) - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in spans), np.uint64, n))
+
+
+@cache
+def permutations() -> np.ndarray:
+    """What bands() adds by exclusive or, and the odd numbers that it multiplies by."""
+    return np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of ROWS minima of the set under as many permutations; sets of a Jaccard similarity j
+    have one of them in common with a chance of 1 - (1 - j^ROWS)^BANDS."""
+    turn, by = permutations()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), SLICE):
+        np.minimum(least, ((own[at : at + SLICE] ^ turn) * by).min(axis=1), out=least)
+    least = mixed(least).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in range(ROWS):
+        out = mixed(out ^ least[:, row])
+    return out
+
+
+def set_marks(docs: DataFrame, key: str, text: str, words: int, whole: bool = False) -> DataFrame:
+    """key, node (a hash of the text's shingle set), size and either its bands or, if whole, the set."""
+    ship(docs.sparkSession)
+    rows, last = docs.select(key, F.col(text).cast("binary").alias("__text")), "set" if whole else "bands"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BATCH):
+                part = batch.slice(at, BATCH)
+                sets = [shingle_set(x.as_py() or b"", words) for x in part.column(1)]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                told = [(s if whole else bands(s) if len(s) else s).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(told, pa.list_(pa.int64()))], [key, "node", "size", last])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, node long, size int, {last} array<long>")
 
-    First each of these lanes links what is within LOOSE bits in it alone, its keys carrying nothing else. Only
-    classes that this links to any other, or that share their value of the lane, are keyed with all their lanes and
-    compared in full.
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose shingle sets have the Jaccard similarity; checkpointed."""
+    n = pairs.count()
+    uses = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("__uses"))
+    held = join_classes(pairs.withColumnRenamed("a", "node"), sets.join(uses, "node"), "node", n, "__uses").select(F.col("node").alias("a"), "b", F.col("set").alias("__a"))
+    both = held.join(sets.select(F.col("node").alias("b"), F.col("set").alias("__b")), "b")
+    shared = F.size(F.array_intersect("__a", "__b"))
+    return cut(both.where(shared / (F.size("__a") + F.size("__b") - shared) >= similarity).select("a", "b"))
+
+
+def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between classes(node, least) that connect all whose sets share a band and have the similarity.
+
+    First each class is compared with the least of its band. What this leaves apart in a band is then compared
+    with all of the band but its own component; the largest component of a band is not compared with itself.
     """
-    names, out = lanes_of(lanes), None
-    for lane in names[:KEY_LANES]:
-        values = classes.groupBy(F.col(lane).alias("fp")).agg(F.count(F.lit(1)).alias("__n"))
-        near = links(values.select("fp"), LOOSE).select(F.explode(F.array("a", "b")).alias("__fp"))
-        met = cut(near.unionByName(values.where("__n > 1").select(F.col("fp").alias("__fp"))).distinct())
-        some = classes.join(met, F.col(lane) == F.col("__fp"), "left_semi")
-        turned = some.select("node", *[F.col(n).alias(to) for n, to in zip([lane, *(n for n in names if n != lane)], names, strict=True)])
-        own = links(turned, bits, lanes)
-        out = own if out is None else out.unionByName(own)
-    return out
+    fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+    spelt = marks.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
+    heads = spelt.groupBy("band").agg(F.min(F.struct("node", "size")).alias("__head"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    met = cut(spelt.join(heads, "band"))
+    involved = classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("__least")).distinct()
+    own = docs.join(involved, F.col(key).eqNullSafe(F.col("__least")), "left_semi")
+    sets = cut(set_marks(own, key, text, words, whole=True).select("node", "set").dropDuplicates(["node"]))
+    stars = met.where(F.col("node") != F.col("__head.node")).where(fit(F.col("size"), F.col("__head.size")))
+    first = verified(cut(stars.select(F.col("__head.node").alias("a"), F.col("node").alias("b")).distinct()), sets, similarity)
+    found = components(first)
+    roots = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+    placed = met.select("band", "node", "size").join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    shares = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("__n")).groupBy("band").agg(F.max(F.struct("__n", "root")).alias("__most"), F.count(F.lit(1)).alias("__roots"))
+    split = cut(placed.join(shares.where("__roots > 1").select("band", F.col("__most.root").alias("__top")), "band"))
+    apart = split.where(F.col("root") != F.col("__top")).select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("size").alias("__size"), F.col("root").alias("__root"))
+    rest = apart.join(split, F.col("band") == F.col("__band")).where(F.col("root") != F.col("__root")).where((F.col("root") == F.col("__top")) | (F.col("a") < F.col("node")))
+    pairs = rest.where(fit(F.col("size"), F.col("__size"))).select("a", F.col("node").alias("b")).distinct()
+    return first.unionByName(verified(cut(pairs), sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, lanes: int = 1) -> DataFrame:
-    """key, fp and component: the smallest key that links lead to."""
-    names = lanes_of(lanes)
-    node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
-    marks = cut(fingerprints(docs, key, text, words, lanes).withColumn("node", node))
-    classes = cut(marks.groupBy("node", *names).agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    """key, fp and component: the smallest key that links lead to.
+
+    With more than one lane, `bits` is not used: texts link if their shingle sets have the SIMILARITY, and fp is a hash of the set.
+    """
+    if lanes > 1:
+        return similar(docs, key, text, words).select(key, F.col("node").alias("fp"), "component")
+    marks = cut(fingerprints(docs, key, text, words).withColumn("node", F.col("fp")))
+    return grouped(marks, lambda classes: links(classes.select("fp"), bits), key).select(key, "fp", "component")
+
+
+def similar(docs: DataFrame, key: str, text: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """key, node and component, by the Jaccard similarity of shingle sets; texts of equal sets have one node."""
+    marks = cut(set_marks(docs, key, text, words))
+    return grouped(marks, lambda classes: set_links(docs, marks, classes, key, text, words, similarity), key)
+
+
+def grouped(marks: DataFrame, linked: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """The rows of marks(key, node, ...) with their component, by the links between classes of equal nodes."""
+    classes = cut(marks.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")).withColumn("fp", F.col("node")))
     known = classes.agg(F.sum("n")).first()[0] or 0
-    spread_out = classes.repartition(partitions(docs.sparkSession))
-    found = components(links(spread_out, bits) if lanes == 1 else wide_links(spread_out, bits, lanes))
+    found = components(linked(classes.repartition(partitions(marks.sparkSession))))
     rooted = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     member = cut(rooted.join(classes, "node").select("node", "root", "least"))
     lowest = member.groupBy("root").agg(F.min("least").alias("low"))
     low = member.join(lowest, "root").select(F.col("node").alias("__node"), "low")
     named = cut(classes.join(low, F.col("node") == F.col("__node"), "left").select("node", F.coalesce("low", "least").alias("component"), "n"))
-    return join_classes(marks.select(key, "fp", "node"), named, "node", known, "n").select(key, "fp", "component")
+    return join_classes(marks.drop("bands"), named, "node", known, "n")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group stays: the one with the smallest key (one of its rows, if they repeat).
 
-    Texts link if their fingerprints of `lanes` words of 64 bits are as near as shingle sets of the
-    similarity are in the mean, and a deviation more. Golay keys of KEY_LANES lanes find the pairs to compare:
-    all within 4 bits in one of these lanes, most up to 10.
+    Texts link if their sets of word shingles have the Jaccard similarity. Bands of minima propose what is compared.
     """
-    found = cut(near_duplicates(docs, key, text, words, within(similarity, lanes), lanes))
+    found = cut(similar(docs, key, text, words, similarity))
     kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__key"))
     out = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
     repeats = found.groupBy(key).count().where("count > 1").limit(1).count()

@@ -235,6 +235,22 @@ def test_equal_lanes_do_not_hide_a_near_copy(spark):
     assert [r["doc_id"] for r in simhash.dedup(docs).collect()] == [1]
 
 
+def test_pairs_at_the_similarity_are_found_and_others_stay(spark):
+    rnd, docs = random.Random(7), []
+    for i in range(200):
+        words = [f"{i}w{rnd.randrange(10**6)}" for _ in range(304)]
+        other = list(words)
+        # a changed word spoils 5 of 300 shingles: similarity 0.82 with 6 of them, 0.76 with 8
+        for j in range(6 if i % 2 else 8):
+            other[20 + 35 * j] = f"{i}new{j}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = [shingles(t) for _, t in docs]
+    near = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(near) == 100
+    kept = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in docs if not (i % 2 and near[i // 2])}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
