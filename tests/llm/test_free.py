@@ -251,6 +251,32 @@ def test_pairs_at_the_similarity_are_found_and_others_stay(spark):
     assert kept == {i for i, _ in docs if not (i % 2 and near[i // 2])}
 
 
+def test_dedup_follows_the_components_of_exact_similarity(spark):
+    """Revisions that chain around 0.8, some large, so that links of a band's least text do not suffice."""
+    rnd, docs = random.Random(11), []
+    for g in range(12):
+        words = [f"{g}w{rnd.randrange(10**6)}" for _ in range(120)]
+        for _ in range(25):
+            words = list(words)
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(10**6)}"
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(10**6)}"
+            docs.append((rnd.randrange(10**9), " ".join(words)))
+    sets, root = [shingles(t) for _, t in docs], {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, _) in enumerate(docs):
+        for m in range(k):
+            if len(sets[k] & sets[m]) / len(sets[k] | sets[m]) >= 0.8:
+                x, y = find(i), find(docs[m][0])
+                root[max(x, y)] = min(x, y)
+    kept = sorted(r["doc_id"] for r in simhash.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == sorted({find(i) for i, _ in docs})
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
