@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stellara.llm.common import cut, join_classes, partitions, ship, table
 from stellara.llm.components import components
@@ -303,13 +304,31 @@ def set_marks(docs: DataFrame, key: str, text: str, words: int, whole: bool = Fa
             for at in range(0, len(batch), BATCH):
                 part = batch.slice(at, BATCH)
                 sets = [shingle_set(x.as_py() or b"", words) for x in part.column(1)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
                 told = [(s if whole else bands(s) if len(s) else s).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(told, pa.list_(pa.int64()))], [key, "node", "size", last])
 
     return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, node long, size int, {last} array<long>")
 
 
+def with_node(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """docs and __own, the hash of each text's shingle set."""
+    ship(docs.sparkSession)
+    names = [*docs.columns, "__own"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([node_of(shingle_set(x.as_py() or b"", words)) for x in batch.column(-1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own)], names)
+
+    schema = StructType([*docs.schema.fields, StructField("__own", LongType())])
+    return docs.withColumn("__own", F.col(text).cast("binary")).mapInArrow(run, schema)
+
+
+def node_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs(a, b) whose shingle sets have the Jaccard similarity; checkpointed."""
     n = pairs.count()
@@ -354,38 +373,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if lanes > 1:
         return similar(docs, key, text, words).select(key, F.col("node").alias("fp"), "component")
     marks = cut(fingerprints(docs, key, text, words).withColumn("node", F.col("fp")))
-    return grouped(marks, lambda classes: links(classes.select("fp"), bits), key).select(key, "fp", "component")
+    named, known = grouped(marks, lambda classes: links(classes.select("fp"), bits), key)
+    return join_classes(marks, named.select("node", "component", "n"), "node", known, "n").select(key, "fp", "component")
 
 
 def similar(docs: DataFrame, key: str, text: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
     """key, node and component, by the Jaccard similarity of shingle sets; texts of equal sets have one node."""
+    marks, named, known = set_classes(docs, key, text, words, similarity)
+    return join_classes(marks.select(key, "node"), named.select("node", "component", "n"), "node", known, "n")
+
+
+def set_classes(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, int]:
+    """The marks of docs, what grouped() says of their classes, and how many rows there are."""
     marks = cut(set_marks(docs, key, text, words))
-    return grouped(marks, lambda classes: set_links(docs, marks, classes, key, text, words, similarity), key)
+    return marks, *grouped(marks, lambda classes: set_links(docs, marks, classes, key, text, words, similarity), key)
 
 
-def grouped(marks: DataFrame, linked: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """The rows of marks(key, node, ...) with their component, by the links between classes of equal nodes."""
+def grouped(marks: DataFrame, linked: Callable[[DataFrame], DataFrame], key: str) -> tuple[DataFrame, int]:
+    """Classes of equal nodes of marks(key, node, ...) and the number of rows. A class has node, component, n rows, its least key
+    and head, the one node of its component that has the component's key (nulls last)."""
     classes = cut(marks.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")).withColumn("fp", F.col("node")))
     known = classes.agg(F.sum("n")).first()[0] or 0
     found = components(linked(classes.repartition(partitions(marks.sparkSession))))
     rooted = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     member = cut(rooted.join(classes, "node").select("node", "root", "least"))
-    lowest = member.groupBy("root").agg(F.min("least").alias("low"))
+    lowest = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("void"), "least", "node")).alias("low"))
     low = member.join(lowest, "root").select(F.col("node").alias("__node"), "low")
-    named = cut(classes.join(low, F.col("node") == F.col("__node"), "left").select("node", F.coalesce("low", "least").alias("component"), "n"))
-    return join_classes(marks.drop("bands"), named, "node", known, "n")
+    named = classes.join(low, F.col("node") == F.col("__node"), "left")
+    return cut(named.select("node", F.coalesce("low.least", "least").alias("component"), "n", "least", F.coalesce("low.node", "node").alias("head"))), known
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group stays: the one with the smallest key (one of its rows, if they repeat).
+    """One row of each group stays: one with the smallest key, nulls last. Rows that repeat a key, or have none, are told apart by their texts.
 
     Texts link if their sets of word shingles have the Jaccard similarity. Bands of minima propose what is compared.
     """
-    found = cut(similar(docs, key, text, words, similarity))
-    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__key"))
-    out = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    repeats = found.groupBy(key).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([key]) if repeats else out
+    marks, named, _ = set_classes(docs, key, text, words, similarity)
+    kept = named.where("node = head").select(F.col("least").alias("__key"), F.col("node").alias("__node"))
+    repeated = cut(marks.groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again"))
+    stays = docs.join(kept.select("__key").distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    if repeated.isEmpty():
+        return stays
+    again = F.col(key).eqNullSafe(F.col("__again"))
+    marked = with_node(stays.join(repeated, again, "left_semi"), text, words).dropDuplicates([key, "__own"])
+    one = marked.join(kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__node")), "left_semi").drop("__own")
+    return stays.join(repeated, again, "left_anti").unionByName(one)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

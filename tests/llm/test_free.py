@@ -277,6 +277,12 @@ def test_dedup_follows_the_components_of_exact_similarity(spark):
     assert kept == sorted({find(i) for i, _ in docs})
 
 
+def test_rows_without_an_own_key_stay_if_their_texts_differ(spark):
+    texts = [(None, prose(21, 60)), (None, prose(22, 60)), (None, prose(22, 60)), (None, prose(23, 60)), (4, prose(24, 60)), (4, prose(25, 60)), (4, prose(23, 60)), (4, prose(24, 60)), (9, prose(26, 60)), (9, prose(25, 60))]
+    got = simhash.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter({(None, prose(21, 60)), (None, prose(22, 60)), (4, prose(23, 60)), (4, prose(24, 60)), (4, prose(25, 60)), (9, prose(26, 60))})
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
