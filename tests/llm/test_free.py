@@ -39,24 +39,45 @@ def test_transducer_equals_the_library(codec, library):
         assert ids_of(codec, t).tolist() == library.encode_ordinary(t)
 
 
-def test_transducer_equals_merging_on_small_vocabularies():
-    for seed in range(6):
+def test_transducer_equals_merging_on_small_vocabularies(monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    for seed in range(12):
+        monkeypatch.setattr(bpe, "FEW", 1 + 200 * (seed % 2))
         rnd = random.Random(seed)
         ranks = {bytes([b]): b for b in b"abc"}
         ranks = {b: i for i, b in enumerate(ranks)}
         while len(ranks) < 14:
             ranks.setdefault(rnd.choice(list(ranks)) + rnd.choice(list(ranks)), len(ranks))
         machine = bpe.Transducer(ranks)
-        for _ in range(300):
-            piece = bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 25)))
-            assert machine.encode(piece) == bpe.merge_by_rank(ranks, piece)
-
-
-def test_bounded_states(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 50)
-    machine = bpe.Transducer(codec.machine.ranks)
-    for w in prose(3, 300).split():
-        assert machine.encode(w.encode()) == library.encode_ordinary(w)
+        words = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 120 if k % 9 == 0 else 25))) for k in range(300)]
+        want = [bpe.merge_by_rank(ranks, w) for w in words]
+        assert [machine.encode(w) for w in words] == want
+        count = np.array([len(w) for w in words], np.int32)
+        ids, sizes = machine.encode_all(np.frombuffer(b"".join(words), np.uint8), np.cumsum(count, dtype=np.int32) - count, count)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_pieces_follow_the_rule(codec):
+    rnd = random.Random(8)
+    signs = ["a", "Z", "é", "日", "1", "٣", "²", " ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "'", "'", "s", "re", "ll", "v", "!", "_", "🎉", "\u0000", "\u0301"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(4000)] + ["", "'", "'s", " 's", "''s", "x'rex", "'r", "'v", " ", "  a", "a  "]
+    data, first, count, per_text = codec.cut(texts)
+    found = [data[a : a + n].tobytes().decode() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    split = regex.compile(bpe.vocabulary()[1]).findall
+    assert bpe.vocabulary()[1] == bpe.RULE
+    assert found == [p for t in texts for p in split(t)] and per_text.tolist() == [len(split(t)) for t in texts]
+
+
+def test_slabs_and_other_rules(codec, library, monkeypatch):
+    texts = [prose(k, 30 + 700 * (k % 5 == 0)) + "  \n x" * (k % 3) for k in range(40)] + ["", None, "日本語🎉" * 300, "ab" * 900]
+    want = [library.encode_ordinary(t or "") for t in texts]
+    for slab in (1 << 20, 1000, 37):
+        monkeypatch.setattr(bpe, "SLAB", slab)
+        assert [ids.tolist() for ids in codec.encode_many(texts)] == want
+    monkeypatch.setattr(codec, "power", np.zeros(1 << 16, np.uint64))  # all hashes alike: bytes decide
+    assert [ids.tolist() for ids in codec.encode_many(texts)] == want
+    words = bpe.Codec(codec.machine.ranks, r"\w+")
+    assert [ids.tolist() for ids in words.encode_many(["one, two!", "", "three"])] == [[i for w in t for i in library.encode_ordinary(w)] for t in (["one", "two"], [], ["three"])]
 
 
 @pytest.mark.parametrize("step", [1, 2, 7, 1 << 16])
