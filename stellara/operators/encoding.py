@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from stellara.session import cut
 
 
-def dictionary(df: DataFrame, column: str, wide: bool = False) -> DataFrame:
+def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(code, value): codes 0, 1, ... in the order of the distinct values; nulls have none.
 
-    The values of an attribute are few and are numbered in one task. With wide, values are dealt by range, and
-    each range is numbered from the count of those before it.
+    Values are dealt by range, and each range is numbered from the count of those before it.
     """
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    if not wide:
-        return values.select((F.row_number().over(Window.orderBy("value")) - 1).alias("code"), "value")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(values.repartitionByRange(n, "value").withColumn("range", F.spark_partition_id()))
     counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))

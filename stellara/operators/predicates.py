@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -28,6 +29,29 @@ class Predicate:
             EQ_OR_EQ: lambda: c.isin(v[0], v[1]),
         }[self.kind]()
 
+    def bounds(self) -> tuple[float, float]:
+        """The least and the greatest value, of numbers, that can pass."""
+        v = self.values
+        return {
+            EQ: lambda: (v[0], v[0]),
+            LE: lambda: (-math.inf, v[0]),
+            GE: lambda: (v[0], math.inf),
+            GT: lambda: (v[0], math.inf),
+            GT_AND_LE: lambda: (v[0], v[1]),
+            EQ_OR_EQ: lambda: (min(v), max(v)),
+        }[self.kind]()
+
+    def holds(self, value: int | str) -> bool:
+        v = self.values
+        return {
+            EQ: lambda: value == v[0],
+            LE: lambda: value <= v[0],
+            GE: lambda: value >= v[0],
+            GT: lambda: value > v[0],
+            GT_AND_LE: lambda: v[0] < value <= v[1],
+            EQ_OR_EQ: lambda: value in v,
+        }[self.kind]()
+
     def sql(self) -> str:
         v = [x if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in self.values]
         form = {EQ: "{c} = {0}", LE: "{c} <= {0}", GE: "{c} >= {0}", GT: "{c} > {0}", GT_AND_LE: "({c} > {0} AND {c} <= {1})", EQ_OR_EQ: "({c} = {0} OR {c} = {1})"}[self.kind]

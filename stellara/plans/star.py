@@ -28,11 +28,16 @@ def needed(query: StarQuery) -> list[str]:
 def joined(star: Star, query: StarQuery, fact: DataFrame | None = None) -> DataFrame:
     """Fact rows that pass all predicates, with the group attributes: inner joins where an attribute is
     wanted, left-semi joins where only a filter is, no join for a dimension that gives neither.
-    The planner broadcasts dimensions by their measured size and shuffles beyond it."""
-    rows = scan(star.lineorder(needed(query)) if fact is None else fact, query.predicates)
+    The planner broadcasts dimensions by their measured size and shuffles beyond it.
+
+    A filter on dates also goes to the fact's scan, as a range of days; if it is one, and no attribute is wanted, there is no join."""
+    spent = None
+    if fact is None:
+        fact, spent = filtered_fact(star, query, needed(query))
+    rows = scan(fact, query.predicates)
     for name in DIMENSIONS:
         d = query.dimensions.get(name)
-        if d is None or not (d.group or d.predicates):
+        if d is None or not (d.group or d.predicates) or (name == spent and not d.group):
             continue
         kept = [key_of(name), *([d.group] if d.group else [])]
         side = scan(star.view(name), d.predicates).select(*kept)
@@ -40,6 +45,17 @@ def joined(star: Star, query: StarQuery, fact: DataFrame | None = None) -> DataF
     return rows
 
 
+def filtered_fact(star: Star, query: StarQuery, columns: list[str]) -> tuple[DataFrame, str | None]:
+    """The fact with what the query's filters imply for its scans, and the dimension whose filter that settles."""
+    d = query.dimensions.get("date")
+    if d is None or not d.predicates or query.joins["date"] != "lo_orderdate":
+        return star.lineorder(columns, query.predicates), None
+    days = star.days(d.predicates)
+    if days is None:
+        return star.lineorder(columns, query.predicates).where(F.lit(False)), "date"
+    return star.lineorder(columns, query.predicates, days[:2]), "date" if days[2] else None
+
+
 def aggregated(rows: DataFrame, query: StarQuery) -> DataFrame:
     total = F.sum(measure(query.measure))
     if not query.groups:
@@ -47,9 +63,9 @@ def aggregated(rows: DataFrame, query: StarQuery) -> DataFrame:
     return rows.groupBy(*query.groups).agg(total.cast("long").alias("total")).orderBy(*query.groups)
 
 
-def run(star: Star, query: StarQuery) -> DataFrame:
+def run(star: Star, query: StarQuery, fact: DataFrame | None = None) -> DataFrame:
     """The group attributes, in the order of their tables, and total."""
-    return aggregated(joined(star, query), query)
+    return aggregated(joined(star, query, fact), query)
 
 
 def run_script(star: Star, text: str) -> DataFrame:
@@ -58,7 +74,7 @@ def run_script(star: Star, text: str) -> DataFrame:
 
 def pre_aggregate(star: Star, query: StarQuery, more: list[str]) -> DataFrame:
     """Fact rows after all joins and predicates with what `more` filters need: cache it and use it again."""
-    fact = star.lineorder([*needed(query), *more])
+    fact = filtered_fact(star, query, [*needed(query), *more])[0]
     return joined(star, query, fact).select(*dict.fromkeys([*query.groups, *_MEASURE_COLUMNS[query.measure], *more]))
 
 

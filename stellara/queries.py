@@ -15,8 +15,9 @@ from stellara.plans import ssb
 from stellara.plans.script import MEASURES, Dimension, StarQuery, parse
 from stellara.plans.star import JOINS, SCANS, join_counts, joined, post_aggregate, pre_aggregate, run, run_script, scan_counts, sql
 from stellara.schema import DIMENSIONS, key_of
-from stellara.session import cut, shared_folder
-from stellara.sources import files
+from stellara.run import execute
+from stellara.session import cut, remove, shared_folder
+from stellara.sources import files, parameters, store
 from stellara.sources.views import VIEWS_SQL, Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,7 @@ _MULTI = parse(ssb.SCRIPTS["q4_1"])
 _AGGREGATES = {
     "agg_global_product": _query(MEASURES[1], filters=("date",), predicates=[Predicate("lo_discount", GT_AND_LE, (0, 3))]),
     "agg_unfiltered": _query(MEASURES[0]),
+    "agg_elided": StarQuery("", {"supplier": Dimension("supplier"), "date": Dimension("date", [], "d_year")}, [], {"supplier": "lo_suppkey", "date": "lo_orderdate"}, MEASURES[0]),
     "agg_rev_1key": _query(MEASURES[0], {"date": "d_year"}, ("supplier",)),
     "agg_rev_2key": _query(MEASURES[0], {"supplier": "s_nation", "date": "d_year"}, ("supplier",)),
     "agg_rev_3key": _query(MEASURES[0], {"supplier": "s_nation", "customer": "c_city", "date": "d_year"}, ("supplier", "customer", "date")),
@@ -93,7 +95,7 @@ def _composite(star: Star) -> DataFrame:
 
 def _encoded_key(star: Star) -> DataFrame:
     """Fact rows by the code that the supplier key's dictionary gives the foreign key."""
-    codes = encoding.dictionary(star.supplier(), "s_suppkey", wide=True)
+    codes = encoding.dictionary(star.supplier(), "s_suppkey")
     return encoding.encode(star.lineorder(["lo_suppkey"]), "lo_suppkey", codes, "code").groupBy("lo_suppkey", F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,30 +138,82 @@ def _probe(star: Star) -> DataFrame:
     return rows.select("c_custkey", bits.bit_at(F.col("word"), F.col("c_custkey")).cast("int").alias("bit"))
 
 
+def _from_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read from files that were written to the shared folder; they are deleted once they are read."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    write(folder)
+    out = cut(read(folder))
+    remove(spark, folder)
+    return out
+
+
 def _delimited(star: Star) -> DataFrame:
     """Suppliers written as a delimited table and read again."""
-    rows, path = star.raw("supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), f"{shared_folder(star.spark)}/{uuid.uuid4().hex}.tbl"
-    files.write_delimited(rows, path)
-    return files.read_delimited(star.spark, path, rows.columns).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_nationkey", "s_acctbal")
+    rows = star.raw("supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    kept = [F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_nationkey", "s_acctbal"]
+    return _from_files(star.spark, lambda to: files.write_delimited(rows, to), lambda at: files.read_delimited(star.spark, at, rows.columns).select(*kept))
+
+
+_COLUMN_FILES = {0: "o_orderkey", 3: "o_orderstatus", 5: "o_totalprice"}
 
 
 def _column_files(star: Star) -> DataFrame:
-    """Two columns of nation written as a file each, read again and joined by row."""
-    folder = f"{shared_folder(star.spark)}/{uuid.uuid4().hex}"
-    rows = star.raw("nation").select("n_nationkey", "n_name")
-    for i, (c, kind) in enumerate((("n_nationkey", "INT"), ("n_name", "STRING"))):
-        ordered = rows.select(F.col("n_nationkey").alias("k"), F.col(c).cast("string").alias("value"))
-        head = star.spark.createDataFrame([(-1, kind)], "k int, value string")
-        ordered.unionByName(head).coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{folder}/lo_col_{i}.tbl")
-    return files.read_columns(star.spark, folder, {0: "n_nationkey", 1: "n_name"}).drop("row")
+    """Columns of orders written as a file each, in several parts, read again and joined by row."""
+    rows = star.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice").where("o_orderkey IS NOT NULL")
+    read = lambda at: files.read_columns(star.spark, at, _COLUMN_FILES).withColumn("o_orderkey", F.col("o_orderkey").cast("long")).drop("row")
+    return _from_files(star.spark, lambda to: files.write_columns(rows, "o_orderkey", _COLUMN_FILES, to, parts=5), read)
+
+
+_MICRO_ROWS, _MICRO_WIDTHS = 10_000, {"col0": 4, "col1": 8}
 
 
 def _micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the micro table's values, and of each value's packed width."""
-    rows = files.micro_table(spark, 10_000)
+    """Counts of the generated micro table's values, and sums of the other column's."""
+    rows = files.micro_table(spark, _MICRO_ROWS)
     return rows.groupBy("col0").agg(F.count(F.lit(1)).alias("n"), F.sum("col1").alias("sum_col1"))
 
 
+def _micro_files(spark: SparkSession, read: Callable[[str], DataFrame]) -> DataFrame:
+    return _from_files(spark, lambda to: files.write_micro_table(files.micro_table(spark, _MICRO_ROWS), "id", _MICRO_WIDTHS, f"{to}/mb_data"), lambda at: read(f"{at}/mb_data"))
+
+
+def _micro_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The micro table from its meta file and column files."""
+    return _micro_files(spark, lambda at: files.read_micro_table(spark, at)[0])
+
+
+def _micro_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each column of the micro table, packed by the width that its file names."""
+
+    def packed(at: str) -> DataFrame:
+        rows, widths = files.read_micro_table(spark, at)
+        parts = [encoding.packed(rows, "row", c, w).select(F.lit(c).alias("column_name"), "word_id", "word") for c, w in widths.items()]
+        return parts[0].unionByName(parts[1])
+
+    return _micro_files(spark, packed)
+
+
+def _micro_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column in the engine's own layout, two header lines before the values."""
+    rows = files.micro_table(spark, _MICRO_ROWS)
+    return _from_files(spark, lambda to: files.write_lines(rows, "id", "col1", [str(_MICRO_ROWS), "256"], f"{to}/mb_col"), lambda at: files.read_micro_column(spark, f"{at}/mb_col", 2))
+
+
+def _startup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query 3.1 by startup parameters, from a script file, every fact row twice."""
+
+    def write(to: str) -> None:
+        lines = spark.createDataFrame(list(enumerate(ssb.SCRIPTS["q3_1"].split("\n"))), "at long, line string")
+        files.write_lines(lines, "at", "line", [], f"{to}/3_1.txt", 1)
+
+    return _from_files(spark, write, lambda at: execute(spark, parameters.parse([f"data_path:{sf_dir}", f"query_path:{at}/", "q_id:3_1.txt", "sf:2"])))
+
+
+def _stored(star: Star) -> DataFrame:
+    """Query 3.1 over the star that was written as Parquet."""
+    return _from_files(star.spark, lambda to: store.write_star(star, to), lambda at: run_script(store.open_star(star, at), ssb.SCRIPTS["q3_1"]))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out |= {n: _star(lambda s, t=t, p=p: _scanned(s, t, p)) for n, (t, p) in _SCANS.items()}
@@ -176,7 +230,7 @@ def queries() -> dict[str, Query]:
         "agg_composite_id": _star(_composite),
         "agg_str_count": _star(lambda s: joined(s, _AGGREGATES["agg_str_key"]).groupBy("p_brand1").agg(F.count(F.lit(1)).alias("n"))),
         "dict_int": _star(lambda s: encoding.dictionary(s.raw("part"), "p_size").select(F.col("code").cast("long").alias("code"), "value")),
-        "dict_double": _star(lambda s: encoding.dictionary(s.raw("supplier"), "s_acctbal", wide=True).select(F.col("code").cast("long").alias("code"), "value")),
+        "dict_double": _star(lambda s: encoding.dictionary(s.raw("supplier"), "s_acctbal").select(F.col("code").cast("long").alias("code"), "value")),
         "dict_str": _star(lambda s: encoding.dictionary(s.customer(), "c_nation").select(F.col("code").cast("long").alias("code"), "value")),
         "dict_encode_fk": _star(_encoded_key),
         "dict_decode": _star(lambda s: _decoded(s).withColumn("code", F.col("code").cast("long"))),
@@ -199,7 +253,11 @@ def queries() -> dict[str, Query]:
         "source_delimited": _star(_delimited),
         "source_column_files": _star(_column_files),
         "micro_counts": _micro,
-        "script_q3_1": _star(lambda s: run_script(s, ssb.SCRIPTS["q3_1"])),
+        "micro_table": _micro_table,
+        "micro_pack": _micro_pack,
+        "micro_engine_column": _micro_engine,
+        "startup_run": _startup,
+        "stored_star": _star(_stored),
     }
     return out
 
@@ -234,6 +292,13 @@ def _dictionary_sql(column: str, source: str) -> str:
     return f"SELECT row_number() OVER (ORDER BY value) - 1 AS code, value FROM (SELECT DISTINCT {column} AS value FROM {source} WHERE {column} IS NOT NULL)"
 
 
+def _packed_sql(column: str, bits: int, code: str, source: str) -> str:
+    """Words as sums of codes; those over the sign bit are negative."""
+    per = 64 // bits
+    whole = f"sum(CAST({code} AS HUGEINT) << ({64 - bits} - (range % {per}) * {bits})::INT)"
+    return f"SELECT '{column}' AS column_name, range // {per} AS word_id, CAST(CASE WHEN {whole} >= 9223372036854775808 THEN {whole} - 18446744073709551616 ELSE {whole} END AS BIGINT) AS word FROM {source} GROUP BY range // {per}"
+
+
 def oracle_sql() -> dict[str, str]:
     two = _AGGREGATES["agg_rev_2key"]
     asia, segment = _ASIA.sql(), _SEGMENT.sql()
@@ -280,8 +345,12 @@ def oracle_sql() -> dict[str, str]:
         "token_split": "SELECT p_partkey, unnest(CASE WHEN p_brand LIKE '%#' THEN string_split(p_brand, '#')[:-2] ELSE string_split(p_brand, '#') END) AS token FROM part",
         "scale_replay": "SELECT nation.* FROM nation, range(3)",
         "source_delimited": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
-        "source_column_files": "SELECT n_nationkey, n_name FROM nation",
-        "micro_counts": f"SELECT {micro.format(0, 16)} AS col0, count(*) AS n, CAST(sum({micro.format(1, 256)}) AS BIGINT) AS sum_col1 FROM range(10000) GROUP BY 1",
-        "script_q3_1": sql(parse(ssb.SCRIPTS["q3_1"])),
+        "source_column_files": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IS NOT NULL",
+        "micro_counts": f"SELECT {micro.format(0, 16)} AS col0, count(*) AS n, CAST(sum({micro.format(1, 256)}) AS BIGINT) AS sum_col1 FROM range({_MICRO_ROWS}) GROUP BY 1",
+        "micro_table": f"SELECT CAST(range AS BIGINT) AS row, {micro.format(0, 16)} AS col0, {micro.format(1, 256)} AS col1 FROM range({_MICRO_ROWS})",
+        "micro_pack": " UNION ALL ".join(_packed_sql(c, w, micro.format(i, 1 << w), f"range({_MICRO_ROWS})") for i, (c, w) in enumerate(_MICRO_WIDTHS.items())),
+        "micro_engine_column": f"SELECT CAST(range AS BIGINT) AS row, {micro.format(1, 256)} AS value FROM range({_MICRO_ROWS})",
+        "startup_run": f"SELECT * REPLACE (2 * total AS total) FROM ({sql(parse(ssb.SCRIPTS['q3_1']))})",
+        "stored_star": sql(parse(ssb.SCRIPTS["q3_1"])),
     }
     return out

@@ -1,4 +1,4 @@
-"""Shared folder and lineage cuts for the core operators."""
+"""Shared folder, lineage cuts and file removal."""
 
 from __future__ import annotations
 
@@ -8,13 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines share; an own folder only where that is unset."""
+    """spark.checkpoint.dir, which all machines share. Where it is unset, a session on one machine gets a folder of its own;
+    on a cluster that would be a local one, so it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stellara-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="stellara-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: what comes after reads files, whatever executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, wherever Spark can reach it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,4 +1,7 @@
-"""Native file layouts: delimited tables, one file a column, micro-benchmark columns."""
+"""Native file layouts: delimited tables, one file a column, micro-benchmark tables.
+
+A path is a file or a folder of part files, whose order is that of their names.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from stellara.session import cut
 
 _KINDS = {"INT": T.IntegerType(), "DOUBLE": T.DoubleType()}
+_NAMES = {"int": "INT", "bigint": "INT", "double": "DOUBLE"}
 
 
 def kind_of(name: str) -> T.DataType:
@@ -16,10 +20,15 @@ def kind_of(name: str) -> T.DataType:
     return next((t for k, t in _KINDS.items() if name.strip().startswith(k)), T.StringType())
 
 
+def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
+    """The first lines of the first file; a file's splits keep their order, the first one being the largest or as large."""
+    files = sorted(spark.read.text(path).inputFiles())
+    return [r[0] for r in spark.read.text(files[0]).limit(n).collect()] if files else []
+
+
 def read_delimited(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """A table whose first line names its types, `|` between cells. Cells that are no number become null."""
-    head = spark.read.text(path).limit(1).first()
-    kinds = [kind_of(k) for k in (head[0] if head else "").split("|")]
+    kinds = [kind_of(k) for k in "".join(first_lines(spark, path)).split("|")]
     if len(kinds) < len(names):
         raise ValueError(f"{path} has {len(kinds)} columns, not {len(names)}")
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)])
@@ -28,39 +37,74 @@ def read_delimited(spark: SparkSession, path: str, names: list[str]) -> DataFram
 
 def write_delimited(df: DataFrame, path: str) -> None:
     """The same layout, in one file a partition, each with its line of types."""
-    name = {"int": "INT", "bigint": "INT", "double": "DOUBLE"}
-    kinds = [name.get(k, "STRING") for _, k in df.dtypes]
+    kinds = [_NAMES.get(k, "STRING") for _, k in df.dtypes]
     df.toDF(*[f"{k} {i}" for i, k in enumerate(kinds)]).write.mode("overwrite").csv(path, sep="|", header=True)
 
 
+def write_lines(rows: DataFrame, order: str, value: str, head: list[str], path: str, parts: int | None = None) -> None:
+    """A text file (or part files) of `head` and a column's values in the order of `order`, a number from 0 on."""
+    spark = rows.sparkSession
+    lines = rows.select(F.col(order).cast("long").alias("at"), F.col(value).cast("string").alias("line"))
+    top = spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "at long, line string")
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.unionByName(top).repartitionByRange(n, "at").sortWithinPartitions("at").select("line").write.mode("overwrite").text(path)
+
+
 def numbered(spark: SparkSession, path: str, header_lines: int = 1) -> DataFrame:
-    """(row, value): lines of a text file in their order, without its first lines.
+    """(row, value): lines of a text file, or of part files one after the other, without the first lines.
 
-    A line's number is what stands before it in its partition plus the lines of all partitions before.
+    A line's number is its place in its block plus the lines of all blocks before, by file name and offset.
     """
-    lines = cut(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")))
-    part = F.shiftright("at", 33)
-    counts = lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = lines.join(F.broadcast(before), part == F.col("__part"))
-    return placed.select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) - header_lines).alias("row"), "value").where("row >= 0")
+    lines = cut(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    up_to = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.select(F.col("file").alias("__file"), F.col("block").alias("__block"), (F.coalesce(F.sum("n").over(up_to), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = lines.join(blocks, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return placed.select((F.col("at") + F.col("shift") - header_lines).alias("row"), "value").where("row >= 0")
+
+
+def write_columns(df: DataFrame, order: str, columns: dict[int, str], folder: str, prefix: str = "lo_col_", parts: int | None = None) -> None:
+    """A file a column: its type, then its values in the order of `order`, a row number."""
+    kinds = dict(df.dtypes)
+    for number, name in columns.items():
+        write_lines(df, order, name, [_NAMES.get(kinds[name], "STRING")], f"{folder}/{prefix}{number}.tbl", parts)
 
 
 def read_columns(spark: SparkSession, folder: str, columns: dict[int, str], prefix: str = "lo_col_") -> DataFrame:
-    """A fact table of one file a column, joined by row: meant to be written as Parquet once."""
+    """A fact table of one file a column, joined by row. Columns shuffle once for this: see sources.store for Parquet."""
     out = None
     for number, name in columns.items():
         path = f"{folder}/{prefix}{number}.tbl"
-        head = spark.read.text(path).limit(1).first()
-        own = numbered(spark, path).select("row", F.col("value").cast(kind_of(head[0])).alias(name))
+        kind = kind_of("".join(first_lines(spark, path)))
+        own = numbered(spark, path).select("row", F.col("value").cast(kind).alias(name))
         out = own if out is None else out.join(own, "row")
     return out
 
 
 def read_micro_column(spark: SparkSession, path: str, header_lines: int = 1) -> DataFrame:
+    """(row, value) of one integer a line; the engine's own layout has two header lines, a table's column one."""
     return numbered(spark, path, header_lines).select("row", F.col("value").cast("int").alias("value"))
 
 
+def write_micro_table(df: DataFrame, order: str, widths: dict[str, int], path: str) -> None:
+    """A micro-benchmark table: `path` has the numbers of rows and columns, `path`_cols/col<i>.dat a column's bit width and values."""
+    spark = df.sparkSession
+    write_lines(spark.createDataFrame([], "at long, line string"), "at", "line", [str(df.count()), str(len(widths))], path, 1)
+    for i, (name, width) in enumerate(widths.items()):
+        write_lines(df, order, name, [str(width)], f"{path}_cols/col{i}.dat")
+
+
+def read_micro_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """(row, col0, col1, ...) and the bit width of each column; values are their own codes."""
+    rows, columns = (int(x) for x in first_lines(spark, path, 2))
+    out, widths = spark.range(rows).select(F.col("id").alias("row")), {}
+    for i in range(columns):
+        file = f"{path}_cols/col{i}.dat"
+        widths[f"col{i}"] = int(first_lines(spark, file)[0])
+        out = out.join(read_micro_column(spark, file).withColumnRenamed("value", f"col{i}"), "row")
+    return out, widths
+
+
 def micro_column(bits: int, seed: int = 1, row: str = "id") -> Column:
     """A number in [0, 2 ** bits), uniform and the same for the same row and seed."""
     digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string"))), 1, 8)

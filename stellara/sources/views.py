@@ -1,17 +1,30 @@
-"""The star views over the provided Parquet tables."""
+"""The star views over the provided Parquet tables.
+
+The date dimension is a calendar (CALENDAR unless another one is given): making it reads no table, and filters on it
+are ranges of days, which go to the scan of orders. An order outside the calendar joins no date.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellara.schema import CATALOG
+from stellara.operators.predicates import Predicate
+from stellara.schema import CATALOG, DIMENSIONS, FACT
+
+#: First and last day of the date dimension.
+CALENDAR = (date(1992, 1, 1), date(2011, 12, 31))
 
 #: Fact columns that come from orders or part; the others are lineitem's own.
 _ORDER_COLUMNS = {"lo_custkey", "lo_orderdate", "lo_orderpriority", "lo_ordtotalprice"}
 _PART_COLUMNS = {"lo_supplycost"}
+#: Fact columns that are a rounded multiple of a stored one.
+_SCALED = {"lo_quantity": ("l_quantity", 1), "lo_extendedprice": ("l_extendedprice", 100), "lo_discount": ("l_discount", 100), "lo_ordtotalprice": ("o_totalprice", 100)}
+FACT_COLUMNS = ("lo_orderkey", "lo_linenumber", "lo_custkey", "lo_partkey", "lo_suppkey", "lo_orderdate", "lo_orderpriority", "lo_shippriority", "lo_quantity", "lo_extendedprice", "lo_ordtotalprice", "lo_discount", "lo_revenue", "lo_supplycost")
 
 
 def datekey(ts: Column) -> Column:
@@ -22,12 +35,25 @@ def cents(c: str, factor: int = 100) -> Column:
     return F.round(F.col(c) * factor).cast("long")
 
 
+def attributes(day: date) -> dict[str, int]:
+    """The date dimension's row of a day."""
+    n = day.timetuple().tm_yday
+    return {"d_datekey": day.year * 10_000 + day.month * 100 + day.day, "d_year": day.year, "d_monthnuminyear": day.month, "d_yearmonthnum": day.year * 100 + day.month, "d_daynuminyear": n, "d_weeknuminyear": (n - 1) // 7 + 1}
+
+
 class Star:
     """Views by name. The fact view joins only the tables that the wanted columns need: those joins
     are left joins to primary keys, so leaving one out changes no row."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, calendar: tuple[date, date] = CALENDAR):
+        self.spark, self.sf_dir, self.calendar = spark, sf_dir, calendar
+
+    def days(self, predicates: Iterable[Predicate]) -> tuple[date, date, bool] | None:
+        """First and last day of the calendar that pass, and whether all between do; None if no day does."""
+        first, last = self.calendar
+        every = [first + timedelta(n) for n in range((last - first).days + 1)]
+        passed = [d for d in every if all(p.holds(attributes(d)[p.column]) for p in predicates)]
+        return (passed[0], passed[-1], (passed[-1] - passed[0]).days + 1 == len(passed)) if passed else None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -35,13 +61,25 @@ class Star:
     def view(self, name: str) -> DataFrame:
         return {"supplier": self.supplier, "customer": self.customer, "part": self.part, "date": self.date}[name]()
 
-    def lineorder(self, columns: Iterable[str]) -> DataFrame:
+    def lineorder(self, columns: Iterable[str], filters: Iterable[Predicate] = (), between: tuple[date, date] | None = None) -> DataFrame:
+        """The fact. What `filters` on its columns and the days `between` (both included) imply for stored columns goes to
+        the scans; the filters themselves are still to be applied."""
         wanted = list(dict.fromkeys(columns))
         if unknown := set(wanted) - set(CATALOG["lineorder"]):
             raise ValueError(f"lineorder has no {sorted(unknown)}")
         rows = self.raw("lineitem")
-        if _ORDER_COLUMNS & set(wanted):
-            rows = rows.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        for p in filters:
+            if p.column in _SCALED and _SCALED[p.column][0].startswith("l_"):
+                rows = implied(rows, p)
+        if _ORDER_COLUMNS & set(wanted) or between:
+            orders = self.raw("orders")
+            for p in filters:
+                if p.column in _SCALED and _SCALED[p.column][0].startswith("o_"):
+                    orders = implied(orders, p)
+            narrow = between or any(p.column in _ORDER_COLUMNS for p in filters)
+            if between:
+                orders = orders.where((F.col("o_orderdate") >= F.lit(between[0]).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(between[1] + timedelta(1)).cast("timestamp_ntz")))
+            rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner" if narrow else "left")
         if _PART_COLUMNS & set(wanted):
             rows = rows.join(self.raw("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
         price, discount = cents("l_extendedprice"), cents("l_discount")
@@ -75,11 +113,46 @@ class Star:
         return self.raw("part").select("p_partkey", "p_name", mfgr.alias("p_mfgr"), category.alias("p_category"), brand.alias("p_brand1"), "p_type", "p_size")
 
     def date(self) -> DataFrame:
-        day = self.raw("orders").select(F.to_date("o_orderdate").alias("d")).where("d IS NOT NULL").distinct()
+        first, last = self.calendar
+        day = self.spark.range(0, (last - first).days + 1, 1, 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("d"))
         d = F.col("d")
         return day.select(datekey(d).alias("d_datekey"), F.year(d).alias("d_year"), F.month(d).alias("d_monthnuminyear"), (F.year(d) * 100 + F.month(d)).alias("d_yearmonthnum"), F.dayofyear(d).alias("d_daynuminyear"), (F.floor((F.dayofyear(d) - 1) / 7) + 1).cast("int").alias("d_weeknuminyear"))
 
 
+def implied(rows: DataFrame, p: Predicate) -> DataFrame:
+    """Rows whose stored column may pass a filter on its rounded multiple: a step to each side more, for rounding."""
+    stored, factor = _SCALED[p.column]
+    low, high = p.bounds()
+    if low > -math.inf:
+        rows = rows.where(F.col(stored) >= F.lit(float(low - 1) / factor))
+    if high < math.inf:
+        rows = rows.where(F.col(stored) <= F.lit(float(high + 1) / factor))
+    return rows
+
+
+class Stored(Star):
+    """The star from one table a view, the fact in a folder a year."""
+
+    def __init__(self, spark: SparkSession, folder: str, year: str):
+        super().__init__(spark, folder)
+        self.year = year
+
+    def view(self, name: str) -> DataFrame:
+        if name not in DIMENSIONS:
+            raise ValueError(f"unknown dimension {name!r}")
+        return self.raw(name)
+
+    def lineorder(self, columns: Iterable[str], filters: Iterable[Predicate] = (), between: tuple[date, date] | None = None) -> DataFrame:
+        wanted = list(dict.fromkeys(columns))
+        if unknown := set(wanted) - set(CATALOG[FACT]):
+            raise ValueError(f"lineorder has no {sorted(unknown)}")
+        rows = self.raw(FACT)
+        if between:
+            first, last = (attributes(d)["d_datekey"] for d in between)
+            rows = rows.where(F.col(self.year).between(between[0].year, between[1].year) & F.col("lo_orderdate").between(first, last))
+        return rows.select(*wanted)
+
+
 #: The same views as SQL for the oracle.
 VIEWS_SQL = """
 lineorder AS (
@@ -101,9 +174,9 @@ part_ AS (
          'MFGR#' || (1 + n // 5) || (1 + n % 5) || lpad(CAST(p_size AS VARCHAR), 2, '0') AS p_brand1, p_type, p_size
   FROM (SELECT *, CAST(split_part(p_brand, '#', 2) AS INTEGER) - 1 AS n FROM main.part)),
 date_ AS (
-  SELECT DISTINCT CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER) AS d_datekey,
-         CAST(year(o_orderdate) AS INTEGER) AS d_year, CAST(month(o_orderdate) AS INTEGER) AS d_monthnuminyear,
-         CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS d_yearmonthnum, CAST(dayofyear(o_orderdate) AS INTEGER) AS d_daynuminyear,
-         CAST(1 + (dayofyear(o_orderdate) - 1) // 7 AS INTEGER) AS d_weeknuminyear
-  FROM orders WHERE o_orderdate IS NOT NULL)
+  SELECT CAST(year(d) * 10000 + month(d) * 100 + day(d) AS INTEGER) AS d_datekey,
+         CAST(year(d) AS INTEGER) AS d_year, CAST(month(d) AS INTEGER) AS d_monthnuminyear,
+         CAST(year(d) * 100 + month(d) AS INTEGER) AS d_yearmonthnum, CAST(dayofyear(d) AS INTEGER) AS d_daynuminyear,
+         CAST(1 + (dayofyear(d) - 1) // 7 AS INTEGER) AS d_weeknuminyear
+  FROM generate_series(DATE '1992-01-01', DATE '2011-12-31', INTERVAL 1 DAY) AS calendar(d))
 """

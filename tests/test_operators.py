@@ -15,9 +15,8 @@ from stellara.streaming.star import running
 
 def test_dictionary_and_widths(spark):
     df = spark.createDataFrame([(30,), (10,), (20,), (10,), (None,)], "v int")
-    for wide in (False, True):
-        codes = encoding.dictionary(df, "v", wide)
-        assert {r["value"]: r["code"] for r in codes.collect()} == {10: 0, 20: 1, 30: 2}
+    codes = encoding.dictionary(df, "v")
+    assert {r["value"]: r["code"] for r in codes.collect()} == {10: 0, 20: 1, 30: 2}
     assert [r["c"] for r in encoding.encode(df, "v", codes, "c").orderBy(F.col("v").asc_nulls_last()).collect()] == [0, 0, 1, 2, None]
     sizes = spark.createDataFrame([(n,) for n in (1, 2, 128, 129, 32768, 32769)], "n int")
     assert [r[0] for r in sizes.select(encoding.width(F.col("n"))).collect()] == [8, 8, 8, 16, 16, 32]
@@ -72,6 +71,35 @@ def test_column_files(spark, tmp_path):
     assert [r["value"] for r in files.read_micro_column(spark, str(tmp_path / "lo_col_0.tbl"), 2).orderBy("row").collect()] == [6, 7]
 
 
+def test_column_files_of_uneven_parts(spark, tmp_path):
+    """Spark reads the largest part first; rows follow the parts' names all the same."""
+    parts = {"lo_col_0.tbl": ["INT\n1\n", "2\n3\n4\n5\n6\n7\n8\n", "9\n10\n"], "lo_col_1.tbl": ["STRING\n" + "\n".join("abcd") + "\n", "e\n", "f\ng\nh\ni\nj\n"]}
+    for name, texts in parts.items():
+        (tmp_path / name).mkdir()
+        for i, t in enumerate(texts):
+            (tmp_path / name / f"part-{i}").write_text(t)
+    rows = files.read_columns(spark, str(tmp_path), {0: "k", 1: "v"}).orderBy("row").collect()
+    assert [tuple(r) for r in rows] == [(i, i + 1, "abcdefghij"[i]) for i in range(10)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        df = spark.range(500).select("id", (F.col("id") * 7).cast("int").alias("v"))
+        files.write_columns(df, "id", {4: "v"}, str(tmp_path / "w"), parts=3)
+        assert [r["v"] for r in files.read_columns(spark, str(tmp_path / "w"), {4: "v"}).orderBy("row").collect()] == [7 * i for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_micro_table_follows_its_meta_file(spark, tmp_path):
+    (tmp_path / "mb").write_text("3\n2\n")
+    (tmp_path / "mb_cols").mkdir()
+    (tmp_path / "mb_cols/col0.dat").write_text("4\n1\n2\n3\n")
+    (tmp_path / "mb_cols/col1.dat").write_text("8\n255\n0\n7\n")
+    rows, widths = files.read_micro_table(spark, str(tmp_path / "mb"))
+    assert widths == {"col0": 4, "col1": 8} and sorted(map(tuple, rows.collect())) == [(0, 1, 255), (1, 2, 0), (2, 3, 7)]
+    words = encoding.packed(rows, "row", "col1", 8).first()["word"]
+    assert words & (1 << 64) - 1 == 0xFF00070000000000
+
+
 def test_tokens_and_replay(spark):
     df = spark.createDataFrame([("a|b|",), ("a||b",), ("",)], "s string")
     assert [r[0] for r in df.select(files.tokens(F.col("s"), "|")).collect()] == [["a", "b"], ["a", "", "b"], []]
