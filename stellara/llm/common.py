@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stellara.session import cut, remove, shared_folder
+
+__all__ = ["cut", "folded", "free", "join_classes", "join_small", "partitions", "remove", "shared_folder", "ship", "table", "ticked", "unfolded", "unit"]
+
 #: A side of at most this many short rows may be broadcast; beyond it, joins are salted.
 BROADCAST_ROWS = 10_000
 
@@ -31,25 +35,28 @@ def ship(spark: SparkSession) -> None:
     sc._stellara_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all machines share: spark.checkpoint.dir, or an own one where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stellara-checkpoint-"))
-    return sc.getCheckpointDir()
+def ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder, wherever Spark can reach it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def folded(df: DataFrame, *without: str, **own: Column) -> DataFrame:
+    """All columns of df, without some, as one struct `row`, and beside it columns of one's own, whose names can't clash."""
+    kept = [F.col(ticked(c)) for c in df.columns if c not in without]
+    return df.select((F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("none"))).alias("row"), *[c.alias(n) for n, c in own.items()])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: what comes after reads files, whatever executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unfolded(df: DataFrame, like: DataFrame, *without: str, **more: Column) -> DataFrame:
+    """The columns of the row again, in their order, and more after them."""
+    return df.select(*[F.col(f"row.{ticked(c)}").alias(c) for c in like.columns if c not in without], *[c.alias(n) for n, c in more.items()])
 
 
 def partitions(spark: SparkSession) -> int:

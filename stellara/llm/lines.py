@@ -1,31 +1,29 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line goes down a tree of fixed depth: its token count, then its LEAD first tokens, tokens with a digit
-counting as one variable field. At the leaf its tokens are four blocks; two lines of a leaf which agree in
-two or more of their blocks (half of their tokens) have one template, all else being variable. So a line
-stands under one exact template and, if it has BLOCK_TOKENS tokens or more, under six with two open blocks, each
-named by a hash. A template that occurs in several documents recurs: its lines stay in the document of
-least id and are dropped from all others. Lines of fewer than BLOCK_TOKENS tokens are often alike by chance and
-recur only from SHORT_LINES lines on.
+counting as one variable field. At the leaf its tokens are four blocks, as even as may be; the first is fixed, and two lines of a
+leaf which differ in one of the others only have one template, that block being variable. So a line
+stands under one exact template and, if it has BLOCK_TOKENS tokens or more, under three with an open block, each
+named by two 64-bit hashes. A template that occurs in several documents recurs: its lines stay in the document of
+least id and are dropped from all others.
 
 Defined cases: blank lines stay; null texts stay null, empty ones empty; a document may lose all of its lines, its
 text being empty then; rows that repeat a doc_id are one document; a null doc_id comes after all others, and its
-rows are one document; texts of any length are read whole; an empty table gives an empty result; other columns stay as they are.
+rows are one document; texts of any length are read whole; an empty table gives an empty result; other columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellara.llm.common import cut, table
+from stellara.llm.common import folded, table, ticked
 
 LEAD = 3
 BLOCKS = 4
 BLOCK_TOKENS = 8
-SHORT_LINES = 8
+OPEN = (1, 2, 3)
 FIELD = "<*>"
 #: White space inside lines, as in Java's and RE2's \\s.
 SPACE = "[ \\t\\x0B\\f\\r]+"
@@ -38,65 +36,70 @@ def _tokens(line: Column) -> Column:
     return F.split(masked, " ", -1)
 
 
-def _templates(n: Column) -> Column:
-    """Hashes of all templates that a line stands under, from those of its blocks; none for a blank line."""
-    exact = F.xxhash64(F.lit("line"), n, F.col("__blocks"))
-    open_ = [F.xxhash64(F.lit(f"blocks {i} {j}"), n, F.col("__lead"), F.col("__blocks")[i], F.col("__blocks")[j]) for i, j in combinations(range(BLOCKS), 2)]
-    none = F.array().cast("array<bigint>")
-    return F.when(n >= BLOCK_TOKENS, F.array(exact, *open_)).when(n > 0, F.array(exact)).otherwise(none)
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, row (a hash of the key and the text), at (the line's number), a and b (a template): a row for each line and template."""
+    own = docs.select(F.col(key).alias("doc"), F.xxhash64(key, text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    told = own.where(~F.col("line").rlike("^[ \\t\\x0B\\f\\r]*$")).select("doc", "row", "at", _tokens(F.col("line")).alias("tokens"))
+    sized = told.withColumn("n", F.size("tokens"))
+    end = lambda i: F.floor(F.col("n") * i / BLOCKS).cast("int")
+    blocks = [F.xxhash64(F.slice("tokens", end(i) + 1, end(i + 1) - end(i))) for i in range(BLOCKS)]
+    hashed = sized.select("doc", "row", "at", "n", F.array(*blocks).alias("blocks"), F.xxhash64(F.slice("tokens", 1, LEAD)).alias("lead"))
 
+    def name(which: str, kept: list[int]) -> Column:
+        own = [F.col("blocks")[i] for i in kept]
+        return F.struct(F.xxhash64(F.lit(which), "n", "lead", *own).alias("a"), F.xxhash64(*own[::-1], F.lit(which), "lead", "n").alias("b"))
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """__doc, __line (a hash), __n (tokens), __ts (templates): a row for each document and different line; checkpointed."""
-    own = docs.select(F.col(key).alias("__doc"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("__text"))
-    cut_up = own.select("__doc", F.xxhash64("__text").alias("__line"), _tokens(F.col("__text")).alias("__tokens"))
-    sized = cut_up.withColumn("__n", F.when(F.get("__tokens", F.lit(0)) == "", 0).otherwise(F.size("__tokens")))
-    size = F.ceil(F.col("__n") / BLOCKS).cast("int")
-    blocks = F.array(*[F.xxhash64(F.slice("__tokens", F.lit(1) + size * i, size)) for i in range(BLOCKS)])
-    hashed = sized.select("__doc", "__line", "__n", blocks.alias("__blocks"), F.xxhash64(F.slice("__tokens", 1, LEAD)).alias("__lead"))
-    return cut(hashed.select("__doc", "__line", "__n", _templates(F.col("__n")).alias("__ts")))
+    exact, open_ = name("line", list(range(BLOCKS))), [name(f"open {j}", [i for i in range(BLOCKS) if i != j]) for j in OPEN]
+    names = F.explode(F.when(F.col("n") >= BLOCK_TOKENS, F.array(exact, *open_)).otherwise(F.array(exact)))
+    return hashed.select("doc", "row", "at", names.alias("t")).select("doc", "row", "at", "t.a", "t.b")
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """__doc, __line of the lines to be dropped."""
-    known = rows.select("__doc", "__n", F.explode("__ts").alias("__t")).groupBy("__t").agg(F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__lines"), F.min("__n").alias("__n"))
-    enough = F.when(F.col("__n") < BLOCK_TOKENS, F.col("__lines") >= SHORT_LINES).otherwise(F.col("__lines") > 1)
-    again = known.where(enough & F.col("__first").isNotNull()).select("__t", "__first")
-    later = F.col("__doc").isNull() | (F.col("__doc") > F.col("__first"))
-    return rows.select("__doc", "__line", F.explode("__ts").alias("__t")).join(again, "__t").where(later).select("__doc", "__line")
+    """row, at of the lines to be dropped: those under a template that a document of a lesser id has. Partial
+    minima come before the shuffle, and the join of a template that very many lines share is left for adaptive execution to split."""
+    found = rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("void"))
+    again = found.where((F.col("last") > F.col("first")) | (F.col("void") & F.col("first").isNotNull())).select("a", "b", "first")
+    later = F.col("doc").isNull() | (F.col("doc") > F.col("first"))
+    return rows.join(again, ["a", "b"]).where(later).select("row", "at")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
-    """`docs` without recurring lines. With detail, also __n_lines and __n_dropped."""
-    dropped = recurring(lines(docs, key, text)).groupBy("__doc").agg(F.collect_set("__line").alias("__dropped"))
-    joined = docs.join(dropped, F.col(key).eqNullSafe(F.col("__doc")), "left")
-    parts = F.split(text, "\n", -1)
-    stays = F.filter(parts, lambda x: ~F.array_contains("__dropped", F.xxhash64(x)))
-    cleaned = F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))
-    more = [F.coalesce(F.size(parts), F.lit(0)).alias("__n_lines"), F.when(F.col("__dropped").isNull() | F.col(text).isNull(), 0).otherwise(F.size(parts) - F.size(stays)).alias("__n_dropped")] if detail else []
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], *more)
+    """`docs` without recurring lines. With detail, the columns doc_id, text, n_lines and n_dropped.
+
+    Lines are dropped row by row, a row being known by the hash of its key and text: no group is larger than a text.
+    """
+    dropped = recurring(lines(docs, key, text)).groupBy("row").agg(F.collect_set("at").alias("dropped")).withColumnRenamed("row", "of")
+    joined = folded(docs, hash=F.xxhash64(key, text)).join(dropped, F.col("hash") == F.col("of"), "left")
+    own = F.col(f"row.{ticked(text)}")
+    parts = F.split(own, "\n", -1)
+    stays = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
+    cleaned = F.when(F.col("dropped").isNull(), own).otherwise(F.array_join(stays, "\n"))
+    if detail:
+        n = F.coalesce(F.size("dropped"), F.lit(0))
+        return joined.select(F.col(f"row.{ticked(key)}").alias("doc_id"), cleaned.alias("text"), F.when(own.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(n).alias("n_dropped"))
+    return joined.select(*[(cleaned if c == text else F.col(f"row.{ticked(c)}")).alias(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), detail=True)
-    return out.select("doc_id", "text", F.col("__n_lines").cast("int").alias("n_lines"), F.col("__n_dropped").cast("int").alias("n_dropped"))
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), detail=True)
 
 
-_PAIRS = ", ".join(f"[CAST('blocks {i} {j}' AS VARCHAR), CAST(n AS VARCHAR)] || list_slice(m, 1, {LEAD}) || ['|'] || list_slice(m, s * {i} + 1, s * {i + 1}) || ['|'] || list_slice(m, s * {j} + 1, s * {j + 1})" for i, j in combinations(range(BLOCKS), 2))
+_SLICES = [f"m[n * {i} // {BLOCKS} + 1 : n * {i + 1} // {BLOCKS}]" for i in range(BLOCKS)]
+_OPENED = ", ".join(f"['open {j}', CAST(n AS VARCHAR)] || m[1:{LEAD}] || " + " || ".join(f"['|'] || {x}" for i, x in enumerate(_SLICES) if i != j) for j in OPEN)
 OP9_SQL = f"""
-WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-p AS (SELECT doc_id, line, trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS plain FROM l),
-m AS (SELECT doc_id, line, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '{FIELD}', 'g'), ' ') AS m FROM p WHERE plain <> ''),
-s AS (SELECT doc_id, line, m, len(m) AS n, CAST(ceil(len(m) / {BLOCKS}.0) AS BIGINT) AS s FROM m),
-t AS (SELECT doc_id, line, n, unnest(CASE WHEN n >= {BLOCK_TOKENS} THEN [['line'] || m, {_PAIRS}] ELSE [['line'] || m] END) AS t FROM s),
-k AS (SELECT t, min(doc_id) AS first_doc, count(*) AS n_lines FROM t GROUP BY t),
-d AS (SELECT DISTINCT doc_id, line FROM t JOIN k USING (t)
-      WHERE doc_id > first_doc AND n_lines > 1 AND (n >= {BLOCK_TOKENS} OR n_lines >= {SHORT_LINES})),
-w AS (SELECT doc_id, list(line) AS dropped FROM d GROUP BY doc_id),
-o AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts, coalesce(dropped, []) AS dropped FROM documents LEFT JOIN w USING (doc_id))
+WITH r AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS rn FROM documents),
+l AS (SELECT doc_id, rn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM r),
+p AS (SELECT doc_id, rn, pos, trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS plain FROM l),
+m AS (SELECT doc_id, rn, pos, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '{FIELD}', 'g'), ' ') AS m FROM p WHERE plain <> ''),
+s AS (SELECT *, len(m) AS n FROM m),
+t AS (SELECT doc_id, rn, pos, unnest(CASE WHEN n >= {BLOCK_TOKENS} THEN [['line'] || m, {_OPENED}] ELSE [['line'] || m] END) AS t FROM s),
+k AS (SELECT t, min(doc_id) AS first_doc FROM t GROUP BY t),
+d AS (SELECT DISTINCT rn, pos FROM t JOIN k USING (t) WHERE doc_id > first_doc OR (doc_id IS NULL AND first_doc IS NOT NULL)),
+w AS (SELECT rn, list(pos) AS dropped FROM d GROUP BY rn),
+o AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts, dropped FROM r LEFT JOIN w USING (rn))
 SELECT doc_id,
-       CASE WHEN len(dropped) = 0 THEN text ELSE array_to_string(list_filter(parts, lambda x: NOT list_contains(dropped, x)), chr(10)) END AS text,
+       CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_filter(parts, lambda x, i: NOT list_contains(dropped, i)), chr(10)) END AS text,
        CAST(coalesce(len(parts), 0) AS INTEGER) AS n_lines,
-       CAST(coalesce(len(parts) - len(list_filter(parts, lambda x: NOT list_contains(dropped, x))), 0) AS INTEGER) AS n_dropped
+       CAST(coalesce(len(dropped), 0) AS INTEGER) AS n_dropped
 FROM o
 """

@@ -6,7 +6,7 @@ each record's race, so a record either stays or goes to the new shard.
 
 Defined cases: a null key is a key like any other (all such rows share a shard); rows that repeat a
 key share its shard and get different slots; an empty table gives an empty result; other columns of
-the input are left alone; a null text has no bytes (size 16, CRC-32 0).
+the input are left alone, whatever their names, but one called like a result is replaced; a null text has no bytes (size 16, CRC-32 0).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stellara.llm.common import table
+from stellara.llm.common import folded, table, unfolded
 
 SHARDS = 40
 OVERHEAD = 16
@@ -39,33 +39,38 @@ def place(df: DataFrame, key: str, weights: Sequence[float], grown_weight: float
     n = len(weights)
     if n < 1 or min(weights) <= 0:
         raise ValueError("weights: one positive number for each shard")
-    run = df.withColumn("__times", times(F.col(key), [*weights, *([grown_weight] if grown_weight else [])]))
-    run = run.withColumn(shard, F.array_min(F.slice("__times", 1, n))["s"])
-    if grown_weight:
-        run = run.withColumn(grown, F.array_min("__times")["s"])
-    return run.drop("__times")
+    made = [shard, *([grown] if grown_weight else [])]
+    run = folded(df, *made, times=times(F.col(key), [*weights, *([grown_weight] if grown_weight else [])]))
+    results = [F.array_min(F.slice("times", 1, n))["s"], F.array_min("times")["s"]]
+    return unfolded(run, df, *made, **dict(zip(made, results, strict=False)))
 
 
-def slotted(df: DataFrame, key: str, order: Sequence[str], n_rows: int, n_shards: int, shard: str = "shard", slot: str = "slot") -> DataFrame:
+def slotted(df: DataFrame, key: str, order: Sequence[str], n_rows: int, n_shards: int, shard: str = "shard", slot: str = "slot", times: str | None = None) -> DataFrame:
     """Number each shard's rows 0, 1, ... without gaps, no task holding a whole shard.
 
-    Keys hash into buckets of about SLOT_ROWS rows of a shard; counts of (shard, bucket) give each
-    bucket's first slot, and only buckets are sorted.
+    Rows hash by key and order columns into buckets of about SLOT_ROWS rows of a shard; counts of (shard, bucket) give
+    each bucket's first slot, and only buckets are sorted. With `times`, a column that counts how often a row
+    stands for itself, rows that are alike come once, get that many slots and leave without the column.
     """
     n = 1 + n_rows // (n_shards * SLOT_ROWS)
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(n)).cast("int"))
-    counts = dealt.groupBy(F.col(shard).alias("__s"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*order)))
-    out = ranked.join(firsts, (F.col(shard) == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    return out.withColumn(slot, F.col("__first") + F.col("__rank") - 1).drop("__s", "__b", "__first", "__rank", "__bucket")
+    gone = (slot, *([times] if times else []))
+    places = [f"o{i}" for i in range(len(order))]
+    dealt = folded(df, *gone, shard=F.col(shard), bucket=F.pmod(F.xxhash64(F.col(key), *order, F.lit("slot")), F.lit(n)).cast("int"), n=F.col(times) if times else F.lit(1).cast("long"), **dict(zip(places, map(F.col, order), strict=True)))
+    counts = dealt.groupBy(F.col("shard").alias("s"), F.col("bucket").alias("b")).agg(F.sum("n").alias("all"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("s", "b", F.coalesce(F.sum("all").over(before(Window.partitionBy("s").orderBy("b"))), F.lit(0)).alias("first"))
+    ranked = dealt.withColumn("rank", F.coalesce(F.sum("n").over(before(Window.partitionBy("shard", "bucket").orderBy(*places))), F.lit(0)))
+    out = ranked.join(firsts, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("first") + F.col("rank"))
+    if times:
+        out = out.withColumn("at", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))
+    return unfolded(out, df, *gone, **{slot: F.col("at")})
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"))
-    placed = place(rows, "doc_id", [1.0] * SHARDS, 1.0)
-    out = slotted(placed, "doc_id", ["doc_id", "text_crc32", "size"], docs.count(), SHARDS)
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+    placed = place(alike, "doc_id", [1.0] * SHARDS, 1.0)
+    out = slotted(placed, "doc_id", ["doc_id", "text_crc32", "size"], docs.count(), SHARDS, times="times")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

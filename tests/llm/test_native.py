@@ -64,6 +64,18 @@ def test_slots_over_many_buckets(spark, monkeypatch):
         assert own == list(range(len(own)))
 
 
+def test_alike_rows_get_slots_of_their_own(spark):
+    rows = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (1, 0, 4)], "id long, shard int, times long")
+    got = sorted((r["id"], r["slot"]) for r in sharding.slotted(rows, "id", ["id"], 9, 1, times="times").collect())
+    assert Counter(i for i, _ in got) == {1: 7, 2: 2} and sorted(s for _, s in got) == list(range(9))
+
+
+def test_placing_keeps_other_columns(spark):
+    rows = spark.range(20).withColumns({"times": F.col("id") * 2, "row": F.col("id") * 3, "shard": F.lit(-1)})
+    for r in sharding.place(rows, "id", [1.0, 1.0]).collect():
+        assert (r["times"], r["row"]) == (r["id"] * 2, r["id"] * 3) and r["shard"] in (0, 1)
+
+
 def test_bad_weights(spark):
     with pytest.raises(ValueError):
         sharding.place(spark.range(1), "id", [1.0, 0.0])
@@ -107,6 +119,14 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mix(no_docs, {"s0": 1.0}).count() == 0
 
 
+def test_mixing_to_unequal_weights(spark):
+    rows = mixing.op6(spark, "/root/testdata/sf0.01").collect()
+    rates = {r["source"]: r["rate"] for r in rows}
+    assert len(set(rates.values())) == 4 and all(rates[f"src{i}"] == pytest.approx(rates["src0"] * (1 + i % 4), abs=1e-5) for i in range(20))
+    share = Counter(int(r["source"][3:]) % 4 for r in rows)
+    assert all(abs(share[i] / len(rows) - (1 + i) / 10) < 0.04 for i in range(4))
+
+
 def test_mixing_is_shuffled(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
     ids = [r["doc_id"] for r in mixing.mix(docs).collect()]
@@ -118,11 +138,11 @@ def cleaned(docs: list[tuple[int, str]]) -> dict[int, str]:
 
     def templates(line: str) -> list[tuple]:
         m = [lines.FIELD if any(c.isdigit() for c in t) else t for t in line.split()]
-        n, size = len(m), -(-len(m) // lines.BLOCKS)
+        n = len(m)
         out = [("line", *m)]
         if n >= lines.BLOCK_TOKENS:
-            b = [tuple(m[size * i : size * (i + 1)]) for i in range(lines.BLOCKS)]
-            out += [(i, j, n, *m[: lines.LEAD], "|", *b[i], "|", *b[j]) for i in range(4) for j in range(i + 1, 4)]
+            b = [tuple(m[n * i // 4 : n * (i + 1) // 4]) for i in range(4)]
+            out += [(j, n, *m[: lines.LEAD], *(("|", *b[i]) for i in range(4) if i != j)) for j in (1, 2, 3)]
         return out
 
     where, held = defaultdict(list), defaultdict(set)
@@ -136,8 +156,7 @@ def cleaned(docs: list[tuple[int, str]]) -> dict[int, str]:
     for i, text in docs:
         kept = []
         for line in text.split("\n"):
-            least = 2 if len(line.split()) >= lines.BLOCK_TOKENS else lines.SHORT_LINES
-            if not any(min(where[t]) < i and len(where[t]) >= least for t in held[i, line]):
+            if not any(min(where[t]) < i for t in held[i, line]):
                 kept.append(line)
         out[i] = "\n".join(kept)
     return out
@@ -155,6 +174,18 @@ def test_line_dedup_against_brute_force(spark):
     assert all(own(i) in got[i] for i in got)
 
 
+def test_lines_that_only_begin_alike_stay(spark):
+    docs = [(1, "The report was read by John in May"), (2, "The report was read at school last Tuesday"), (3, "It is a dog that I once had here"), (4, "It is a house on the hill over there")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs)
+
+
+def test_short_lines_and_rows_without_an_own_id(spark):
+    docs = [(1, "See you\nalpha"), (2, "See you\nbeta"), (None, "See you\ngamma"), (None, "gamma\nnew"), (5, "gamma\nfive"), (5, "six\nfive\nbeta"), (5, "six\nfive\nbeta")]
+    got = Counter((r["doc_id"], r["text"]) for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == Counter([(1, "See you\nalpha"), (2, "beta"), (None, ""), (None, "new"), (5, "gamma\nfive"), (5, "six\nfive"), (5, "six\nfive")])
+
+
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     out = lines.dedup(odd_docs, detail=False)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
