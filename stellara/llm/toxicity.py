@@ -1,19 +1,22 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
-Voters look at a text's words: lexicon voters hold words, stem voters hold beginnings of words, each found
-in the sample by how much more often labelled texts have them and dealt over several voters of a kind; pattern voters hold
-regular expressions for insults. A voter fires or stays silent. The label model is a mixture of two
-classes with a firing rate for each voter and class, fitted by expectation maximisation from the sample's
-labels; voters that fire together beyond what the class explains are correlated, and share their weight.
-Its posteriors, not the labels, are what the classifier learns: a logistic regression over words and stems
+Voters look at a text's words. Lexicon voters hold words, stem voters beginnings of words: features which labelled
+texts show to tell toxic from clean, dealt over several voters of a kind; a voter says toxic (+1) if one of its strong features is
+there, clean (-1) if not even a weak one is, and abstains (0) between. Pattern voters hold regular expressions for
+insults and say toxic or abstain. That is all that labels do: choose voters, and give the share of toxic texts.
+
+The label model is generative: a hidden class and, for each voter and class, the probabilities of its three votes, fitted by
+expectation maximisation to the votes on a bounded sample of documents whose labels it doesn't see, from the majority of
+votes on. Voters that agree beyond what the class explains are correlated, and share their weight.
+Its posteriors are what the classifier learns: a logistic regression over words and stems
 with an L1 penalty, so that few features have weights, and scoring only looks words up.
 
-All is fitted on a bounded sample (SAMPLE rows of each label); the bias is moved from the sample's share
-of labels to that of all labelled rows outside the held-out fold.
+Bounds: SAMPLE rows of each label, UNLABELLED documents, and the bytes of sample.SAMPLE_BYTES each; the bias is moved from the sample's
+mean posterior to the share of label 1 among all labelled rows outside the held-out fold.
 
 Defined cases: null and empty texts score by the bias alone; texts of any length are read whole; rows that
 repeat score alike; without labels of both kinds, every score is the share of label 1 (0.5 if there are none);
-an empty table gives an empty result; other columns do no harm.
+an empty table gives an empty result; other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -29,19 +32,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellara.llm.common import ship, table
-from stellara.llm.sample import held_out, labelled
+from stellara.llm.sample import held_out, labelled, unlabelled
 
 FOLDS, FOLD = 4, 2
 #: Rows of label 0 and of label 1 to fit on, at most.
 SAMPLE = (3000, 1500)
+#: Documents whose votes the label model is fitted to, at most.
+UNLABELLED = 6000
 STEMS = (4, 5, 6, 7)
 TIMES = (2, 4, 8)
 VOTERS, PER_VOTER = 8, 12
 LEAST_TEXTS, LEAST_ODDS, VOTER_G, FEATURE_G = 4, 3.0, 20.0, 12.0
-ROUNDS = 30
+WEAK_ODDS, WEAK_G = 1.0, 10.0
+#: Rounds of fitting; what a vote's probabilities are worth before any text, in texts of a class.
+ROUNDS, PRIOR = 50, 10.0
 STEPS, PENALTY = 250, 0.01
-#: Log odds that a sample's own label adds to its posterior.
-LABEL_ODDS = 2.5
 THRESHOLD = 0.3
 MAX_WORDS = 500_000
 
@@ -92,42 +97,60 @@ def telling(sets: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, float
     return out
 
 
-def voters(told: dict[str, tuple[float, float]]) -> list[frozenset[str]]:
-    """Lexicon and stem voters: the most telling features of each kind, dealt in turn."""
-    out = [frozenset(INSULTS[i::3]) for i in range(3)]
+def voters(told: dict[str, tuple[float, float]]) -> list[tuple[frozenset[str], frozenset[str]]]:
+    """(strong, weak) features of lexicon and stem voters: the most telling of each kind, dealt in turn."""
+    out = [(frozenset(INSULTS[i::3]), frozenset()) for i in range(3)]
     for stems in (False, True):
-        best = sorted((f for f, (odds, g) in told.items() if odds >= LEAST_ODDS and g >= VOTER_G and ("*" in f) == stems), key=lambda f: (-told[f][1], f))[: VOTERS * PER_VOTER]
-        out += [frozenset(best[i::VOTERS]) for i in range(VOTERS) if best[i::VOTERS]]
+        kind = sorted((f for f in told if ("*" in f) == stems), key=lambda f: (-told[f][1], f))
+        strong = [f for f in kind if told[f][0] >= LEAST_ODDS and told[f][1] >= VOTER_G][: VOTERS * PER_VOTER]
+        weak = [f for f in kind if told[f][0] >= WEAK_ODDS and told[f][1] >= WEAK_G and f not in set(strong)]
+        out += [(frozenset(strong[i::VOTERS]), frozenset(weak[i::VOTERS])) for i in range(VOTERS) if strong[i::VOTERS]]
     return out
 
 
-def votes(texts: list[str], sets: list[set[str]], held: list[frozenset[str]]) -> np.ndarray:
+def votes(texts: list[str], sets: list[set[str]], held: list[tuple[frozenset[str], frozenset[str]]]) -> np.ndarray:
+    """A row of 1 (toxic), 0 and -1 (clean) for each text. The insults' voters never say clean."""
     patterns = [re.compile(p.format(insults="|".join(INSULTS)), re.S) for p in PATTERNS]
     words = frozenset(INSULTS)
-    return np.array([[*(not v.isdisjoint(own) for v in held), *(not words.isdisjoint(own) and bool(p.search(t.lower())) for p in patterns)] for t, own in zip(texts, sets, strict=True)], dtype=np.float64).reshape(len(texts), len(held) + len(patterns))
+    out = np.zeros((len(texts), len(held) + len(patterns)), dtype=np.int8)
+    for row, (t, own) in enumerate(zip(texts, sets, strict=True)):
+        for j, (strong, weak) in enumerate(held):
+            if not strong.isdisjoint(own):
+                out[row, j] = 1
+            elif not strong <= words and weak.isdisjoint(own):
+                out[row, j] = -1
+        if not words.isdisjoint(own):
+            out[row, len(held) :] = [bool(p.search(t.lower())) for p in patterns]
+    return out
 
 
-def label_model(v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Posterior of label 1 for each row of votes, by expectation maximisation from the labels on, which
-    stay in as one more voter of fixed accuracy: else few rows let the classes drift to what splits them best."""
-    label = LABEL_ODDS * np.where(y > 0, 1.0, -1.0)
-    post, w = np.where(y > 0, 0.9, 0.1), np.ones(v.shape[1])
+def label_model(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of votes: the posterior of toxic for each; each voter's probabilities of -1, 0, 1 by class (2, voters, 3);
+    and the correlations of voters within a class. No label takes part: the classes begin as the majority of votes."""
+    n, m = v.shape
+    is_ = np.stack([v == x for x in (-1, 0, 1)], axis=2).astype(np.float64)
+    # before any text: a voter abstains or is right more often than it is wrong
+    prior = PRIOR * np.array([[[0.5, 0.45, 0.05]], [[0.15, 0.45, 0.4]]]) * np.ones((2, m, 1))
+    plus, minus = (v > 0).sum(axis=1), (v < 0).sum(axis=1)
+    post = np.where((plus >= 2) | (plus > minus), 0.9, 0.1)
     for _ in range(ROUNDS):
-        share = post.mean()
-        rate1 = (post @ v + 1) / (post.sum() + 20)
-        rate0 = ((1 - post) @ v + 0.05) / ((1 - post).sum() + 20)
-        rest = v - (post[:, None] * rate1 + (1 - post)[:, None] * rate0)
+        weight = np.stack([1 - post, post])
+        share = (post.sum() + 1) / (n + 2)
+        p = np.einsum("cn,nmx->cmx", weight, is_) + prior
+        p /= p.sum(axis=2, keepdims=True)
+        mean = p[:, :, 2] - p[:, :, 0]
+        rest = v - weight.T @ mean
         scale = np.sqrt((rest * rest).mean(axis=0)) + 1e-6
-        together = (rest.T @ rest / len(v)) / np.outer(scale, scale)
+        together = (rest.T @ rest / max(n, 1)) / np.outer(scale, scale)
         np.fill_diagonal(together, 0)
         w = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
-        fired, silent = w * np.log(rate1 / rate0), w * np.log((1 - rate1) / (1 - rate0))
-        z = math.log(share / (1 - share)) + v @ (fired - silent) + silent.sum() + label
+        z = math.log(share / (1 - share)) + np.einsum("nmx,mx,m->n", is_, np.log(p[1] / p[0]), w)
         now = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(now - post).max() < 1e-4:
-            break
+        done = np.abs(now - post).max(initial=0) < 1e-4
         post = now
-    return post
+        if done:
+            break
+    return post, p, together
 
 
 def logistic(sets: list[set[str]], target: np.ndarray) -> tuple[dict[str, float], float]:
@@ -149,18 +172,22 @@ def logistic(sets: list[set[str]], target: np.ndarray) -> tuple[dict[str, float]
     return {f: float(w[i]) for f, i in number.items() if w[i]}, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, fold: int = FOLD, sample: tuple[int, int] = SAMPLE) -> tuple[dict[str, float], float]:
-    return fit(*labelled(docs, labels, label, folds, fold, sample))
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, fold: int = FOLD, sample: tuple[int, int] = SAMPLE, more: int = UNLABELLED) -> tuple[dict[str, float], float]:
+    texts, y, odds = labelled(docs, labels, label, folds, fold, sample)
+    if not 0 < y.sum() < len(y):
+        return {}, odds
+    return fit(texts, y, odds, unlabelled(docs, folds, fold, more))
 
 
-def fit(texts: list[str], y: np.ndarray, odds: float) -> tuple[dict[str, float], float]:
-    ones = float(y.sum())
-    if not 0 < ones < len(y):
-        return {}, odds
+def fit(texts: list[str], y: np.ndarray, odds: float, others: list[str]) -> tuple[dict[str, float], float]:
+    """Labels choose the voters; the label model and the classifier see the texts of both samples without labels."""
     sets = feature_sets(texts)
-    post = label_model(votes(texts, sets, voters(telling(sets, y))), y)
-    weights, bias = logistic(sets, post)
-    return weights, bias + odds - math.log(ones / (len(y) - ones))
+    held = voters(telling(sets, y))
+    every = sets + feature_sets(others)
+    post = label_model(votes(texts + others, every, held))[0]
+    weights, bias = logistic(every, post)
+    mean = min(max(float(post.mean()), 1e-6), 1 - 1e-6)
+    return weights, bias + odds - math.log(mean / (1 - mean))
 
 
 class Looked(dict):

@@ -13,7 +13,7 @@ import xxhash
 
 from stellara.llm import bpe, components, hnsw, quality, simhash, toxicity, wordpiece
 from stellara.llm.sample import labelled
-from tests.llm.conftest import prose, write_tables
+from tests.llm.conftest import WORDS, prose, write_tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -345,14 +345,69 @@ def test_op8_against_brute_force(spark, tmp_path):
     assert hnsw.op8(spark, write_tables(tmp_path / "b", embeddings=empty)).count() == 0
 
 
-def test_graph_recall():
+def test_op8_tells_rows_of_one_id_or_none_apart(spark, tmp_path):
+    near, far = [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, [1.0, 0.0, 0.0]), (None, near), (7, far), (7, [0.0, 0.1, 1.0]), (None, None), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter(map(tuple, hnsw.op8(spark, write_tables(tmp_path, embeddings=frame)).collect()))
+    assert got == Counter([(1, 1, 1, True), (None, 1, 1, False), (7, 1, 7, True), (7, 1, 7, True), (None, 0, None, True), (None, 1, None, True), (None, 1, None, True)])
+
+
+def planted(n: int, groups: tuple[int, ...], dim: int) -> np.ndarray:
     rng = np.random.default_rng(6)
-    x = hnsw.normalised(np.concatenate([rng.normal(size=(1500, 24)), *(c + rng.normal(scale=0.05, size=(n, 24)) for c, n in zip(rng.normal(size=(12, 24)), (2, 3, 5, 9, 17, 30, 60, 2, 3, 4, 150, 300), strict=True))])).astype(np.float32)
+    return np.concatenate([rng.normal(size=(n, dim)), *(c + rng.normal(scale=0.05, size=(k, dim)) for c, k in zip(rng.normal(size=(len(groups), dim)), groups, strict=True))])
+
+
+def test_op8_recall_by_graphs(spark, tmp_path, monkeypatch):
+    """Two shards of 1,500 vectors, small broadcasts, groups on both sides of FEW; planted pairs at 0.9 to 0.95."""
+    monkeypatch.setattr(hnsw, "SHARDS", 2)
+    monkeypatch.setattr(hnsw, "WAVE_BYTES", 1 << 10)
+    rng = np.random.default_rng(3)
+    x = hnsw.normalised(planted(2000, (2, 3, 5, 9, 17, 30, 60, 150, 300), 24))
+    away = rng.normal(size=(300, 24))
+    away -= np.einsum("ad,ad->a", away, x[:300])[:, None] * x[:300]
+    c = rng.uniform(0.902, 0.95, size=(300, 1))
+    x = np.concatenate((x, c * x[:300] + np.sqrt(1 - c * c) * hnsw.normalised(away))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.op8(spark, write_tables(tmp_path, embeddings=frame)).collect()}
+    unit = hnsw.normalised(x)
+    truth = unit @ unit.T >= 0.9
+    np.fill_diagonal(truth, False)
+    links = truth.sum(axis=1)
+    assert all(got[i][0] <= links[i] for i in got)
+    assert sum(n for n, _ in got.values()) >= 0.97 * links.sum()
+    pairs = [(i, 2576 + i) for i in range(300) if truth[i, 2576 + i]]
+    assert len(pairs) > 290 and np.mean([got[i][1] == got[j][1] for i, j in pairs]) >= 0.9
+
+
+def test_graph_recall():
+    x = hnsw.normalised(planted(1500, (2, 3, 5, 9, 17, 30, 60, 2, 3, 4, 150, 300), 24)).astype(np.float32)
     graph = hnsw.Graph.build(x)
-    a, b = hnsw.audited(graph, x, 0.9)
-    truth = set(zip(*np.nonzero(x @ x.T >= 0.9), strict=True))
-    found = set(zip(a.tolist(), b.tolist(), strict=True))
-    assert found <= truth and len(found) >= 0.98 * len(truth)
+    width = graph.audit(0.9)
+    assert width < len(x) // 2
+    found = {(i, j) for a, b in graph.within(x, 0.9, width) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    truth = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.9)), strict=True))
+    own = {(i, i) for i in range(len(x))}
+    assert found <= truth | own and len(found - own) >= 0.98 * len(truth - own)
+
+
+def test_audit_widens_a_broken_graph():
+    x = hnsw.normalised(planted(1500, (), 24)).astype(np.float32)
+    graph = hnsw.Graph.build(x)
+    graph.layers[0][:, 3:] = -1
+    assert graph.audit(0.9) > hnsw.BEAM
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    s, t = hnsw.spanning(a, b)
+    first, second = simhash.Forest(), simhash.Forest()
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        first.link(i, j)
+    for i, j in zip(s.tolist(), t.tolist(), strict=True):
+        second.link(i, j)
+    assert len(s) == len(first.fresh) and all(first.root(i) == second.root(i) for i in range(400))
 
 
 def test_network_gradients_and_pieces(monkeypatch):
@@ -416,11 +471,56 @@ def test_samples_leave_the_fold_out(spark):
     assert len(labelled(docs, labels, "quality", 5, 0, (3, 4))[0]) == 7
 
 
-def test_label_model_trusts_good_voters():
+def drawn_votes(rng, truth, right, wrong):
+    """A voter that is right, wrong or abstains with these chances."""
+    u = rng.random(len(truth))
+    sign = np.where(truth, 1, -1)
+    return np.where(u < right, sign, np.where(u < right + wrong, -sign, 0))
+
+
+def test_label_model_finds_classes_and_accuracies_without_labels():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.2
-    fires = lambda hit, miss: np.where(truth, rng.random(4000) < hit, rng.random(4000) < miss)
-    noisy = fires(0.5, 0.4)
-    v = np.stack([fires(0.8, 0.01), fires(0.7, 0.02), noisy, noisy, noisy], axis=1).astype(float)
-    post = toxicity.label_model(v, np.where(rng.random(4000) < 0.1, ~truth, truth).astype(float))
-    assert ((post > 0.5) == truth).mean() > 0.95
+    kinds = [(0.8, 0.02), (0.7, 0.05), (0.6, 0.1), (0.5, 0.05), (0.3, 0.02)]
+    v = np.stack([drawn_votes(rng, truth, *k) for k in kinds], axis=1).astype(np.int8)
+    post, p, together = toxicity.label_model(v)
+    assert ((post > 0.5) == truth).mean() > 0.97
+    for j, (right, wrong) in enumerate(kinds):
+        assert np.allclose(p[1, j], [wrong, 1 - right - wrong, right], atol=0.06) and np.allclose(p[0, j], [right, 1 - right - wrong, wrong], atol=0.06)
+    assert np.abs(together).max() < 0.2
+
+
+def test_label_model_against_plain_sums():
+    """One more round by loops leaves the posteriors as they are."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(500) < 0.3
+    v = np.stack([drawn_votes(rng, truth, 0.7, 0.05 * j) for j in range(4)], axis=1).astype(np.int8)
+    post, _, _ = toxicity.label_model(v)
+    share = (post.sum() + 1) / (len(v) + 2)
+    prior = toxicity.PRIOR * np.array([[0.5, 0.45, 0.05], [0.15, 0.45, 0.4]])
+    chance = [[[sum((q if y else 1 - q) for q, row in zip(post, v, strict=True) if row[j] == x) + prior[y][x + 1] for x in (-1, 0, 1)] for j in range(4)] for y in (0, 1)]
+    for q, row in zip(post, v, strict=True):
+        odds = share / (1 - share)
+        for j in range(4):
+            odds *= (chance[1][j][row[j] + 1] / sum(chance[1][j])) / (chance[0][j][row[j] + 1] / sum(chance[0][j]))
+        assert abs(odds / (1 + odds) - q) < 0.01
+
+
+def test_voters_that_copy_each_other_share_their_weight():
+    rng = np.random.default_rng(4)
+    truth = rng.random(3000) < 0.3
+    noisy = drawn_votes(rng, truth, 0.55, 0.35)
+    v = np.stack([drawn_votes(rng, truth, 0.8, 0.02), drawn_votes(rng, truth, 0.75, 0.03), drawn_votes(rng, truth, 0.7, 0.05), *[noisy] * 3], axis=1).astype(np.int8)
+    post, _, together = toxicity.label_model(v)
+    assert together[3, 4] > 0.5 and ((post > 0.5) == truth).mean() > 0.95
+
+
+def test_posteriors_are_no_copy_of_labels():
+    """Labels that are wrong in a tenth of the rows don't reach the posteriors."""
+    rng = np.random.default_rng(7)
+    toxic = rng.random(1500) < 0.3
+    texts = [" ".join([*rng.choice(WORDS, 30), *(rng.choice(["idiot", "scum", "vile", "rotten", "foul"], 3) if t else [])]) for t in toxic]
+    y = np.where(rng.random(1500) < 0.1, ~toxic, toxic).astype(float)
+    sets = toxicity.feature_sets(texts)
+    post = toxicity.label_model(toxicity.votes(texts, sets, toxicity.voters(toxicity.telling(sets, y))))[0]
+    assert ((post > 0.5) == toxic).mean() > 0.97 and ((post > 0.5) != (y > 0.5)).sum() > 100
