@@ -3,12 +3,12 @@
 Bytes are embedded; learned filters of WIDTH bytes read the document at every second byte, and their
 rectified responses are averaged over chunks of two halves, each half shared by two chunks, so that
 the chunks overlap and cover the whole document. Each filter's greatest chunk goes into one logistic unit.
-It is fitted by Adam on a bounded sample of labelled documents (SAMPLE rows of each label), and its bias
+It is fitted by Adam on a bounded sample of labelled documents (SAMPLE rows of each label, sample.SAMPLE_BYTES of text), and its bias
 is moved from the sample's share of labels to that of all labelled rows outside the held-out fold.
 
 Defined cases: null and empty texts are scored as padding only; texts of any length are read whole; rows
 that repeat score alike; without labels of both kinds, every score is the share of label 1 (0.5 if there are none);
-an empty table gives an empty result; other columns do no harm.
+an empty table gives an empty result; other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stellara.llm.common import ship, table
+from stellara.llm.common import free, ship, table, ticked
 from stellara.llm.sample import held_out, labelled
 
 FOLDS, FOLD = 5, 0
@@ -176,8 +177,8 @@ def score(docs: DataFrame, net: Network, text: str = "text", column: str = "scor
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     kept = [c for c in docs.columns if c != column]
-    own = docs.select(*kept, F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("__bytes"))
-    schema = docs.select(*kept).withColumn(column, F.lit(0.0)).schema
+    own = docs.select(*map(ticked, kept), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias(free(docs, "bytes")))
+    schema = StructType([*own.schema.fields[:-1], StructField(column, DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

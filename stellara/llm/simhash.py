@@ -15,7 +15,7 @@ minima of the shingle sets propose pairs, and the sets themselves decide.
 Defined cases: a null or empty text, and one of separators only, has the fingerprint 0 and is linked like any
 other; fewer words than a shingle's are one shingle; texts of any length are read whole; rows that repeat a
 doc_id are of one component if their fingerprints are; a null doc_id never names a component unless all its ids are
-null; an empty table gives an empty result; other columns do no harm.
+null; an empty table gives an empty result; other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stellara.llm.common import cut, join_classes, partitions, ship, table
+from stellara.llm.common import cut, free, join_classes, partitions, ship, table
 from stellara.llm.components import components
 
 WORDS = 4
@@ -311,18 +311,18 @@ def set_marks(docs: DataFrame, key: str, text: str, words: int, whole: bool = Fa
     return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, node long, size int, {last} array<long>")
 
 
-def with_node(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """docs and __own, the hash of each text's shingle set."""
+def with_node(docs: DataFrame, text: str, words: int, node: str) -> DataFrame:
+    """docs and, called `node`, the hash of each text's shingle set."""
     ship(docs.sparkSession)
-    names = [*docs.columns, "__own"]
+    names = [*docs.columns, node]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([node_of(shingle_set(x.as_py() or b"", words)) for x in batch.column(-1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own)], names)
 
-    schema = StructType([*docs.schema.fields, StructField("__own", LongType())])
-    return docs.withColumn("__own", F.col(text).cast("binary")).mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField(node, LongType())])
+    return docs.withColumn(node, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def node_of(own: np.ndarray) -> int:
@@ -408,15 +408,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     Texts link if their sets of word shingles have the Jaccard similarity. Bands of minima propose what is compared.
     """
-    marks, named, _ = set_classes(docs, key, text, words, similarity)
-    kept = named.where("node = head").select(F.col("least").alias("__key"), F.col("node").alias("__node"))
-    repeated = cut(marks.groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again"))
-    stays = docs.join(kept.select("__key").distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    marks, named, _ = set_classes(docs.select(key, text), key, text, words, similarity)
+    own, of, node = (free(docs, n) for n in ("own", "of", "node"))
+    kept = named.where("node = head").select(F.col("least").alias(of), F.col("node").alias(node))
+    repeated = cut(marks.groupBy(F.col(key).alias(of)).count().where("count > 1").select(of))
+    again = F.col(key).eqNullSafe(F.col(of))
+    stays = docs.join(kept.select(of).distinct(), again, "left_semi")
     if repeated.isEmpty():
         return stays
-    again = F.col(key).eqNullSafe(F.col("__again"))
-    marked = with_node(stays.join(repeated, again, "left_semi"), text, words).dropDuplicates([key, "__own"])
-    one = marked.join(kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__node")), "left_semi").drop("__own")
+    marked = with_node(stays.join(repeated, again, "left_semi"), text, words, own).dropDuplicates([key, own])
+    one = marked.join(kept, again & (F.col(own) == F.col(node)), "left_semi").drop(own)
     return stays.join(repeated, again, "left_anti").unionByName(one)
 
 

@@ -1,5 +1,6 @@
 """Encoding, counting, fingerprints, graphs and classifiers against brute force, libraries and held-out rows."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -12,7 +13,7 @@ import tiktoken
 import xxhash
 
 from stellara.llm import bpe, components, hnsw, quality, simhash, toxicity, wordpiece
-from stellara.llm.sample import labelled
+from stellara.llm.sample import labelled, unlabelled
 from tests.llm.conftest import WORDS, prose, write_tables
 
 SF = "/root/testdata/sf0.01"
@@ -461,6 +462,28 @@ def test_classifiers_on_odd_rows(spark, op, odd_docs, no_docs, tmp_path):
     assert len({r["score"] for r in none}) == 1
 
 
+def test_toxicity_scores_by_plain_sums(spark, odd_docs):
+    weights, bias = {"alpha": 0.5, "alph*": 0.25, "alph*2": 1.0, "word": -0.5, "beta": 0.125}, -0.75
+
+    def plain(text):
+        words = set(regex.findall(r"\w+", (text or "").lower()))
+        n = sum(w.startswith("alph") and len(w) > 4 for w in words)
+        z = bias + 0.5 * ("alpha" in words) + 0.25 * (n > 0) + 1.0 * (n >= 2) - 0.5 * ("word" in words) + 0.125 * ("beta" in words)
+        return round(1 / (1 + math.exp(-z)), 9)
+
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(odd_docs, weights, bias).collect())
+    assert got == Counter((r["doc_id"], plain(r["text"])) for r in odd_docs.collect())
+
+
+def test_samples_are_bounded_by_bytes_and_take_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, "a" * 50), (1, "b" * 50), (2, "c" * 500), (3, "d" * 40), (4, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    texts, y, _ = labelled(docs, labels, "quality", 1, 1, (9, 9))
+    assert len(texts) == 4 and sorted(map(len, texts)) == [0, 40, 50, 500] and y.sum() == 2
+    assert sorted(map(len, labelled(docs, labels, "quality", 1, 1, (9, 9), 120)[0])) == [0, 40, 50]
+    assert sorted(map(len, unlabelled(docs, 1, 1, 9))) == [0, 40, 50, 500] and len(unlabelled(docs, 1, 1, 2)) == 2
+
+
 def test_samples_leave_the_fold_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     import zlib

@@ -217,7 +217,8 @@ def edited(text: str, following: str) -> str:
 
 
 def check_sketches(docs, got):
-    order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, signed(d[1]), d[1]))
     want = Counter()
     for k, (i, text) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
@@ -245,4 +246,23 @@ def test_sketches_retry_larger_and_cross_buckets(spark, monkeypatch, tmp_path):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = iblt.op1(spark, write_tables(tmp_path, documents=frame)).collect()
     check_sketches(docs, got)
+    assert len(iblt.borders(frame.select(F.col("doc_id").alias("key")))) >= 5
     assert {r["next_level"] for r in got} - {0} and max(r["next_level"] for r in got) < iblt.LEVELS
+
+
+def test_neighbours_of_distant_hot_and_null_ids(spark, monkeypatch, tmp_path):
+    """One id far from all others, one id and no id with a third of the rows each: no bucket gets many rows."""
+    monkeypatch.setattr(iblt, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(iblt, "STRIDE", 4)
+    docs = [(1 << 60, "far away")] + [(i, f"own {i}") for i in range(60)] + [(17, f"hot {i}") for i in range(60)] + [(None, f"none {i}") for i in range(60)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check_sketches(docs, iblt.op1(spark, write_tables(tmp_path, documents=frame)).collect())
+    rows = frame.select("doc_id", F.struct(F.col("doc_id").isNull().cast("int").alias("void"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("mark")).alias("o"))
+    sizes = rows.groupBy(iblt.bucket_of(F.col("o"), iblt.borders(frame.select(F.col("doc_id").alias("key")))).alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) <= 24 and len(sizes) > 12
+
+
+def test_pieces_meet_again_after_an_insertion():
+    line = " ".join(f"Sentence {i} of a long line that goes on for some words more." for i in range(80))
+    a, b = pieces(line), pieces("Something new. " + line)
+    assert len(a & b) >= len(a) - 4
