@@ -1,38 +1,48 @@
 """Embedding near-duplicates: a hierarchical navigable small-world graph for each shard, every shard searched.
 
-Exact copies of a vector are one class with a weight. Classes are hashed to shards; a task builds a shard's
+Exact copies of a vector are one class with a weight and a number. Classes are hashed to shards; a task builds a shard's
 graph: upper layers from exact neighbours, the lowest by batches of insertions that search what is there,
-choosing neighbours that are nearer to the new vector than to each other, and linking back. Then every
-class is searched in every shard, block by block. A beam whose worst entry is still within the threshold is
-widened four times and the search repeated; each block also audits a sample against brute force and widens
-all beams until the sample's recall passes, at last comparing everything. Cosines are verified in double precision. A
-task keeps a forest of its links, so what leaves it grows with the vectors, not with the pairs.
+choosing neighbours that are nearer to the new vector than to each other, and linking back. An audit then fixes the
+graph's beam: queries are planted at the threshold's distance from vectors of the shard, and vectors with links are drawn;
+the beam is widened until RECALL of both are found, at last comparing everything.
+
+Every class is searched in every shard. Graphs come to the classes, not classes to the graphs: as many graphs as
+WAVE_BYTES hold are broadcast, the classes stream past them, and the next wave follows; nothing is shuffled for the search.
+A beam whose worst entry is still within the threshold is widened four times and the search repeated. Cosines are verified
+in double precision. A class with up to FEW links in a shard gives them as pairs, so that a link that is found
+from one end counts at both; one with more gives its number of links, and a forest instead of pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, have no links and are their
 own component; vectors of different lengths are never compared; equal vectors link (if valid); rows that repeat a
-vec_id count as vectors of their own; an empty table gives an empty result; other columns do no harm.
+vec_id, or have none, count as vectors of their own; a component without any vec_id has none; an empty table gives an empty
+result; other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellara.llm.common import cut, join_classes, ship, table
+from stellara.llm.common import cut, join_classes, partitions, ship, table
 from stellara.llm.components import components
 from stellara.llm.simhash import Forest
 
 THRESHOLD = 0.9
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 100_000, 8192
+#: Shards at least; bytes of a shard's vectors, and of the graphs that are broadcast at once, at most.
+SHARDS, SHARD_BYTES, WAVE_BYTES = 8, 32 << 20, 64 << 20
 DEGREE, UPPER, REACH = 24, 12, 40
 BATCH, BEAM = 512, 16
-AUDIT, RECALL = 96, 0.98
-SLACK = 1e-5
+AUDIT, RECALL = 256, 0.98
+SLACK, MARGIN = 1e-5, 1e-3
+#: Links of a class in a shard that are given as pairs; cosines that are held at once.
+FEW, HELD = 16, 1 << 22
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
@@ -170,10 +180,10 @@ class Graph:
             return np.arange(len(self.x))[None, :].repeat(len(q), 0), sims
         return beam(self.x, self.layers[0], q, self.descend(q), width)
 
-    def within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all that is found at `least` or above, beams being widened while they hold nothing else."""
-        size = max(8, (1 << 23) // max(len(self.x), 1))
-        out, todo = [], [(np.arange(len(q))[i : i + size], width) for i in range(0, len(q), size)]
+    def within(self, q: np.ndarray, least: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of all that is found at `least` or above, some queries at a time, beams being widened while they hold nothing else."""
+        size = max(8, HELD // max(len(self.x), 1))
+        todo = [(np.arange(len(q))[i : i + size], width) for i in range(0, len(q), size)]
         while todo:
             own, wide = todo.pop()
             rows, sims = self.search(q[own], wide)
@@ -182,8 +192,28 @@ class Graph:
             if full.any():
                 todo.append((own[full], wide * 4))
             a, b = np.nonzero(hit & ~full[:, None])
-            out.append((own[a], rows[a, b]))
-        return np.concatenate([o[0] for o in out] or [np.zeros(0, int)]), np.concatenate([o[1] for o in out] or [np.zeros(0, int)])
+            if len(a):
+                yield own[a], rows[a, b]
+
+    def audit(self, least: float, seed: int = 1) -> int:
+        """The first beam width that finds RECALL of planted queries' vectors and of drawn vectors' links."""
+        rng, n = np.random.default_rng(seed), len(self.x)
+        own = rng.permutation(n)[:AUDIT]
+        x = self.x[own]
+        away = rng.normal(size=x.shape).astype(np.float32)
+        away -= np.einsum("ad,ad->a", away, x)[:, None] * x
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-9)
+        cosine = min(least + MARGIN, 1.0)
+        planted = cosine * x + math.sqrt(1 - cosine * cosine) * away
+        links = int((x @ self.x.T >= least).sum())
+        width = BEAM
+        while width < n // 2:
+            rows, sims = self.search(planted, width)
+            met = (rows == own[:, None]).any(axis=1) | (sims >= least).all(axis=1)  # a beam of links only is widened anyway
+            if met.mean() >= RECALL and sum(len(a) for a, _ in self.within(x, least, width)) >= RECALL * links:
+                break
+            width *= 2
+        return width
 
     def pack(self) -> bytes:
         out = io.BytesIO()
@@ -205,16 +235,6 @@ def best_of(rows: np.ndarray, sims: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.where(sims > -2, rows, -1), sims
 
 
-def audited(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all q, by the first beam width whose recall on a sample passes."""
-    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDIT]
-    truth = (q[sample] @ graph.x.T >= least).sum()
-    width = BEAM
-    while width < len(graph.x) // 2 and len(graph.within(q[sample], least, width)[0]) < RECALL * truth:
-        width *= 2
-    return graph.within(q, least, width)
-
-
 def _array(e: Column) -> Column:
     return F.transform(e, lambda x: x.cast("double") + F.lit(0.0))
 
@@ -224,62 +244,134 @@ def valid(e: Column) -> Column:
     return F.coalesce(e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def pair_links(classes: DataFrame, n: int, least: float) -> DataFrame:
-    """(a, b, w): w, the weight of what class a links to in a shard, where b is null; else a link of a forest."""
-    ship(classes.sparkSession)
-    shards, blocks = max(SHARDS, math.ceil(n / SHARD_ROWS)), max(4, math.ceil(n / BLOCK_ROWS))
-    dealt = classes.select("rep", "w", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links (a, b) connect, one for each node at most: least labels spread until none changes."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    left, right = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        now = label.copy()
+        np.minimum.at(now, left, low)
+        np.minimum.at(now, right, low)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    off = label != np.arange(len(nodes))
+    return nodes[off], nodes[label[off]]
+
+
+#: What a row of search results is: a pair of links, a number of links, a link of a forest.
+PAIR, COUNT, TREE = range(3)
+_RESULT = "kind int, a long, b long, shard int, wa long, wb long"
+
+
+class Shard:
+    def __init__(self, row: tuple):
+        self.dim, self.shard, self.width = row[0], row[1], row[2]
+        self.x = np.frombuffer(row[4], np.float64).reshape(-1, self.dim)
+        self.nodes, self.weights = np.frombuffer(row[5], np.int64), np.frombuffer(row[6], np.int64)
+        self.graph = Graph.unpack(row[3], self.x.astype(np.float32))
+
+    def results(self, nodes: np.ndarray, weights: np.ndarray, shards: np.ndarray, q: np.ndarray, least: float, forest: Forest) -> Iterator[tuple]:
+        for a, b in self.graph.within(q.astype(np.float32), least - SLACK, self.width):
+            off = nodes[a] != self.nodes[b]
+            a, b = a[off], b[off]
+            sure = np.concatenate([np.einsum("ad,ad->a", q[a[i : i + 65536]], self.x[b[i : i + 65536]]) >= least for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+            a, b = a[sure], b[sure]
+            few = (np.bincount(a, minlength=len(nodes)) <= FEW)[a]
+            if few.any():
+                i, j = a[few], b[few]
+                yield PAIR, nodes[i], self.nodes[j], shards[i], weights[i], self.weights[j]
+            if not few.all():
+                i, j = a[~few], b[~few]
+                total = np.bincount(i, self.weights[j], len(nodes)).astype(np.int64)
+                own = np.unique(i)
+                yield COUNT, nodes[own], nodes[own], np.full(len(own), self.shard, np.int32), weights[own], total[own]
+                for s, t in zip(*(x.tolist() for x in spanning(nodes[i], self.nodes[j])), strict=True):
+                    forest.link(s, t)
+                if forest.fresh:
+                    s, t = np.array(forest.fresh, np.int64).T
+                    forest.fresh = []
+                    yield TREE, s, t, np.zeros(len(s), np.int32), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+
+
+def search_results(classes: DataFrame, total_bytes: int, least: float) -> DataFrame:
+    """What the searches of all classes(node, w, v) in all shards give."""
+    spark = classes.sparkSession
+    ship(spark)
+    shards = max(SHARDS, math.ceil(total_bytes / SHARD_BYTES))
+    dealt = classes.select("node", "w", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("rep")
+        own = own.sort_values("node")
         x = normalised(np.stack(own["v"].to_numpy()))
-        data = Graph.build(x.astype(np.float32)).pack()
-        return pd.DataFrame({"dim": [own["dim"].iloc[0]], "shard": [own["shard"].iloc[0]], "graph": [data], "x": [x.tobytes()], "reps": [own["rep"].to_numpy(np.int64).tobytes()], "ws": [own["w"].to_numpy(np.int64).tobytes()]})
-
-    def search(key: tuple, queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(graphs):
-            return pd.DataFrame({"a": [], "b": [], "w": []}).astype({"a": "int64", "b": "Int64", "w": "int64"})
-        g, queries = graphs.iloc[0], queries.sort_values("rep")
-        x = np.frombuffer(g["x"], np.float64).reshape(-1, int(key[0]))
-        reps, ws = np.frombuffer(g["reps"], np.int64), np.frombuffer(g["ws"], np.int64)
-        graph = Graph.unpack(g["graph"], x.astype(np.float32))
-        q, own = normalised(np.stack(queries["v"].to_numpy())), queries["rep"].to_numpy(np.int64)
-        a, b = audited(graph, q.astype(np.float32), least - SLACK)
-        off = own[a] != reps[b]
-        a, b = a[off], b[off]
-        sure = np.concatenate([np.einsum("ad,ad->a", q[a[i : i + 65536]], x[b[i : i + 65536]]) >= least for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-        a, b = a[sure], b[sure]
-        weight = np.bincount(a, ws[b], len(own)).astype(np.int64)
-        forest = Forest()
-        for s, t in zip(own[a].tolist(), reps[b].tolist(), strict=True):
-            forest.link(s, t)
-        hit = np.flatnonzero(weight)
-        left = [*own[hit].tolist(), *(s for s, _ in forest.fresh)]
-        right = [*[None] * len(hit), *(t for _, t in forest.fresh)]
-        return pd.DataFrame({"a": np.array(left, np.int64), "b": pd.array(right, "Int64"), "w": [*weight[hit].tolist(), *[0] * len(forest.fresh)]})
-
-    graphs = cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary, x binary, reps binary, ws binary"))
-    everywhere = dealt.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return everywhere.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, "a long, b long, w long")
+        graph = Graph.build(x.astype(np.float32))
+        out = {"dim": own["dim"].iloc[0], "shard": own["shard"].iloc[0], "width": graph.audit(least), "graph": graph.pack(), "x": x.tobytes(), "nodes": own["node"].to_numpy(np.int64).tobytes(), "ws": own["w"].to_numpy(np.int64).tobytes()}
+        return pd.DataFrame({k: [v] for k, v in out.items()})
+
+    graphs = cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, width int, graph binary, x binary, nodes binary, ws binary"))
+    sizes = graphs.select("dim", "shard", (F.length("graph") + F.length("x") + F.length("nodes") + F.length("ws")).alias("size")).collect()
+    waves: list[list[tuple[int, int]]] = []
+    room = 0
+    for r in sorted(sizes):
+        if r["size"] > room:
+            waves.append([])
+            room = max(WAVE_BYTES, r["size"])
+        room -= r["size"]
+        waves[-1].append((r["dim"], r["shard"]))
+    out = spark.createDataFrame([], _RESULT)
+    for wave in waves:
+        chosen = F.lit(False)
+        for dim, shard in wave:
+            chosen = chosen | ((F.col("dim") == dim) & (F.col("shard") == shard))
+        held = spark.sparkContext.broadcast([tuple(r) for r in graphs.where(chosen).collect()])
+
+        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            near, forest = [Shard(row) for row in held.value], Forest()
+            for batch in batches:
+                nodes, weights, shards, dims = (batch.column(i).to_numpy() for i in (0, 1, 4, 3))
+                for dim in np.unique(dims).tolist():
+                    own = np.flatnonzero(dims == dim)
+                    q = normalised(batch.column(2).take(pa.array(own)).flatten().to_numpy().reshape(-1, dim))
+                    for one in (g for g in near if g.dim == dim):
+                        for kind, *columns in one.results(nodes[own], weights[own], shards[own], q, least, forest):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "a", "b", "shard", "wa", "wb"])
+
+        out = out.unionByName(cut(dealt.mapInArrow(run, _RESULT)))
+        held.destroy()
+    return out
+
+
+def link_counts(found: DataFrame) -> DataFrame:
+    """node, links: pairs count at both ends, but not where an end has counted the other's shard by itself."""
+    pairs, counts = found.where(F.col("kind") == PAIR), found.where(F.col("kind") == COUNT)
+    there = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("wb").alias("w"))
+    back = pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("wa").alias("w"), "shard").join(counts.select(F.col("a").alias("node"), "shard"), ["node", "shard"], "left_anti").drop("shard")
+    each = there.unionByName(back.select("node", "other", "w")).distinct().select("node", "w")
+    return each.unionByName(counts.select(F.col("a").alias("node"), F.col("wb").alias("w"))).groupBy("node").agg(F.sum("w").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = THRESHOLD) -> DataFrame:
     """key, n_links and component (the smallest key that links lead to) of every row."""
-    rows = vectors.select(F.col(key).alias("__id"), F.col(embedding).alias("__e"))
-    good = rows.where(valid(F.col("__e"))).select("__id", _array(F.col("__e")).alias("v"))
-    classes = cut(good.groupBy("v").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("w")))
-    size = classes.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("rows")).first()
-    found = cut(pair_links(classes.where("rep IS NOT NULL"), size["n"], least))
-    roots = components(found.where("b IS NOT NULL"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("__a")).agg(F.sum("w").alias("__links"))
-    named = classes.join(counts, F.col("rep") == F.col("__a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    held = cut(named.select("v", "w", (F.coalesce("__links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component")))
-    linked = join_classes(good, held, "v", size["rows"] or 0, "w").select("__id", "n_links", "component")
-    alone = rows.where(~valid(F.col("__e"))).select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component"))
-    return linked.unionByName(alone).withColumnRenamed("__id", key)
+    rows = vectors.select(F.col(key).alias("id"), F.col(embedding).alias("e"))
+    good = rows.where(valid(F.col("e"))).select("id", _array(F.col("e")).alias("v"))
+    merged = good.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"))
+    classes = cut(merged.repartition(partitions(vectors.sparkSession), "v").withColumn("node", F.monotonically_increasing_id()))
+    size = classes.agg(F.sum(F.size("v") * F.lit(8) + F.lit(DEGREE * 4 + 16)).alias("bytes"), F.sum("w").alias("rows")).first()
+    found = search_results(classes, size["bytes"] or 0, least)
+    roots = components(found.where(F.col("kind") != COUNT)).select(F.col("node").alias("of"), "root")
+    counts = link_counts(found).select(F.col("node").alias("from"), "links")
+    told = classes.join(roots, F.col("node") == F.col("of"), "left").join(counts, F.col("node") == F.col("from"), "left")
+    told = cut(told.select("v", "w", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")))
+    names = told.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "of")
+    held = cut(told.join(names, F.col("root") == F.col("of")).select("v", "w", "n_links", "component"))
+    linked = join_classes(good, held, "v", size["rows"] or 0, "w").select("id", "n_links", "component")
+    alone = rows.where(~valid(F.col("e"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return linked.unionByName(alone).withColumnRenamed("id", key)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "embeddings"))
-    return out.select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
+    return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
