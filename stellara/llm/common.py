@@ -85,7 +85,7 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, n_small: int, spread
     return salted.join(held, on, "left").drop("__key", "__salt", "__salt2")
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, n_rows: int, count: str, hot_share: int = 500) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n_rows: int, count: str, hot_share: int = 5000) -> DataFrame:
     """Inner join of rows with one row for each key, of which some hold very many rows.
 
     `classes` has (key, ..., count). Keys with over n_rows / hot_share rows are fewer than

@@ -2,7 +2,8 @@
 
 Large and small stars alternate: each node links its larger neighbours to the least it knows, then its
 smaller ones, until the links are stars around each component's least node. No component is ever gathered
-in one task: minima combine before the shuffle, and joins on a busy node are left for adaptive execution to split.
+in one task: minima combine before the shuffle, and the few nodes with very many links (under HUBS of them) are broadcast
+with their minima, so that their links stay where they are.
 
 Defined cases: no links give an empty result; links of a node to itself and links with nulls are dropped.
 """
@@ -15,10 +16,20 @@ from pyspark.sql import functions as F
 from stellara.llm.common import cut
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with the least of u and all v that go with u."""
-    low = pairs.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("__m"))
-    return pairs.join(low, F.col("u") == F.col("__u")).select("u", "v", F.least("__u", "__m").alias("m"))
+#: A node is a hub with over 1 / HUBS of the links, and HUB_LINKS at least.
+HUBS, HUB_LINKS = 1000, 10_000
+
+
+def _least(pairs: DataFrame, n: int) -> DataFrame:
+    """Each of n pairs (u, v), or fewer, with the least of u and all v that go with u."""
+    low = pairs.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("__m"), F.count(F.lit(1)).alias("__n"))
+    met, told = F.col("u") == F.col("__u"), ["u", "v", F.least("__u", "__m").alias("m")]
+    limit = max(n // HUBS, HUB_LINKS)
+    if n <= limit:
+        return pairs.join(low, met).select(*told)
+    hubs = F.broadcast(low.where(F.col("__n") > limit))
+    rest = pairs.join(hubs, met, "left_anti").join(low.where(F.col("__n") <= limit), met)
+    return pairs.join(hubs, met).select(*told).unionByName(rest.select(*told))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        met = _least(large)
+        large = _least(both, 2 * now["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        met = _least(large, 2 * now["n"])
         small = met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         pairs = cut(small.distinct())

@@ -1,6 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs, its lines, those over PIECE code points in pieces of that length, are hashed to digests. A sketch has TABLES rows of WIDTH cells; a digest goes to one cell of each row, adding
+A text's paragraphs are its lines; those over PIECE code points are cut at the first end of a sentence from LEAST code points on, else
+at PIECE, so that the pieces after an insertion soon are the old ones again. They are hashed to digests. A sketch has TABLES
+rows of WIDTH cells; a digest goes to one cell of each row, adding
 to its count and, by exclusive or, to its key and its check. Sketches of two versions subtract cell by
 cell; what both have is gone, and cells with one digest left are peeled until the differing digests are recovered or
 nothing more comes off. Then a larger sketch is tried: 4 times the cells, split by a digest's low bits into
@@ -9,12 +11,14 @@ sub-sketches of the first size, with other bits choosing cells. Should LEVELS si
 Likeness is the share of digests that both versions have among all that either has, from the recovered difference.
 
 Defined cases: a null text is the empty one, which has no digests; two texts without digests are alike (1); a paragraph that repeats
-counts once; the next document of one with a null doc_id, or of ties, is by (doc_id, nulls last; text); a single document is its own
-next; texts of any length are read whole; an empty table gives an empty result; other columns do no harm.
+counts once; the next document of one with a null doc_id, or of ties, is by (doc_id, nulls last; XXH64 of the text; text); a single
+document is its own next; texts of any length are read whole; an empty table gives an empty result; other columns, whatever their names,
+do no harm.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,13 +26,14 @@ from pyspark.sql import functions as F
 
 from stellara.llm.common import table
 
-PIECE = 480
-PIECES = f"[^\\n]{{1,{PIECE}}}\\n*|\\n+"
+LEAST, PIECE = 200, 480
+PIECES = f"(?:[^\\n]{{{LEAST},{PIECE - 1}}}?[.!?]|[^\\n]{{1,{PIECE}}})\\n*|\\n+"
 TABLES, WIDTH, BITS = 3, 16, 4
 LEVELS = 9
 ROUNDS = 16
-#: Rows of a bucket of neighbours at least, and buckets at most: their first rows are broadcast.
-BUCKET_ROWS, BUCKETS = 1024, 100_000
+#: Rows that a bucket of neighbours is to have, and buckets at most (they get more rows then): their first rows are broadcast.
+BUCKET_ROWS, BUCKETS = 1024, 65_536
+STRIDE = 256
 
 _CELL = "named_struct('c', {c}, 'k', {k}, 'h', {h})"
 _CHECK = "(xxhash64({x}) & 4294967295L)"
@@ -98,34 +103,62 @@ def likeness(a: str, b: str, found: str) -> Column:
     return F.expr(f"IF({sizes} + size({found}) = 0, 1.0D, CAST({sizes} - size({found}) AS double) / CAST({sizes} + size({found}) AS double))")
 
 
+def borders(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """Where buckets of about BUCKET_ROWS rows of (key, o) begin, as (key is null, key, hash of the text): quantiles of the keys; a key
+    that alone has more rows is cut into ranges of hashes. At most about 2 * BUCKETS numbers come to the driver."""
+    n = rows.count()
+    size = max(BUCKET_ROWS, math.ceil(n / BUCKETS))
+    parts = math.ceil(n / size)
+    if parts < 2:
+        return []
+    least, most = -(1 << 63), (1 << 63) - 1
+    at = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("at")).first()["at"] or []
+    found = {(0, k, least) for k in at}
+    often = sorted({k for k, after in zip(at, at[1:], strict=False) if k == after})
+    counts = rows.where(F.col("key").isin(often) | F.col("key").isNull()).groupBy("key").count().collect()
+    for k, c in ((r["key"], r["count"]) for r in counts):
+        m = math.ceil(c / size)
+        own = (1, 0) if k is None else (0, k)
+        found |= {(*own, least + (i << 64) // m) for i in range(m)}
+        if k is not None and k < most:
+            found.add((0, k + 1, least))
+    return sorted(found)
+
+
+def bucket_of(order: Column, found: list[tuple[int, int, int]]) -> Column:
+    """How many borders are not after a row, by two steps over a sorted literal."""
+    if not found:
+        return F.lit(0)
+    kind = "array<struct<void: int, key: bigint, mark: bigint>>"
+    held = lambda rows: F.from_json(F.lit(json.dumps([dict(zip(("void", "key", "mark"), r, strict=True)) for r in rows])), kind)
+    block = F.greatest(F.size(F.filter(held(found[::STRIDE]), lambda c: c <= order)) - 1, F.lit(0)) * STRIDE
+    return block + F.size(F.filter(F.slice(held(found), block + 1, STRIDE), lambda c: c <= order))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, __text and __next: the text of the next document by key, the first one's after the last.
+    """key (an integer), text and next: the text of the next document by key, the first one's after the last.
 
-    Keys are cut into buckets of equal width; inside a bucket the next row is the next document. The
-    last row of a bucket takes the first text of the next bucket that has rows, found by its key.
+    Rows are in buckets of about equal size; inside a bucket the next row is the next document. The last row of a
+    bucket takes the first text of the next bucket that has rows, found by its place in the order.
     """
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    ends = docs.agg(F.min(key).cast("double").alias("low"), F.max(key).cast("double").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    n = min(BUCKETS, math.ceil(max(ends["n"], 1) / BUCKET_ROWS))
-    low = ends["low"] if ends["low"] is not None else 0.0
-    width = max(((ends["high"] or 0.0) - low + 1) / n, 1.0)
-    bucket = F.coalesce(F.floor((F.col(key).cast("double") - F.lit(low)) / F.lit(width)), F.lit(n + 1)).cast("long")
-    firsts = docs.groupBy(bucket.alias("__bucket")).agg(F.min(key).alias("__id"))
-    in_order = Window.orderBy("__bucket")
+    order = F.struct(F.col(key).isNull().cast("int").alias("void"), F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), order.alias("o"))
+    dealt = rows.withColumn("bucket", bucket_of(F.col("o"), borders(docs.select(F.col(key).cast("long").alias("key")))))
+    firsts = dealt.groupBy("bucket").agg(F.min("o").alias("o"))
+    in_order = Window.orderBy("bucket")
     all_ = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = firsts.select(F.col("__bucket").alias("__of"), F.coalesce(F.lead(F.struct("__id")).over(in_order), F.first(F.struct("__id")).over(all_))["__id"].alias("__id"))
-    heads = rows.join(F.broadcast(following), F.col(key).eqNullSafe(F.col("__id"))).groupBy("__of").agg(F.min("__text").alias("__head"))
-    order = Window.partitionBy("__bucket").orderBy(F.col(key).asc_nulls_last(), "__text")
-    led = rows.withColumn("__bucket", bucket).withColumn("__next", F.lead("__text").over(order))
-    joined = led.join(heads, F.col("__bucket") == F.col("__of"), "left")
-    return joined.select(key, "__text", F.coalesce("__next", "__head").alias("__next"))
+    following = firsts.select(F.col("bucket").alias("of"), F.coalesce(F.lead("o").over(in_order), F.first("o").over(all_)).alias("o"))
+    heads = rows.join(F.broadcast(following), "o").groupBy("of").agg(F.min("text").alias("head"))
+    led = dealt.withColumn("next", F.lead("text").over(Window.partitionBy("bucket").orderBy("o", "text")))
+    joined = led.join(heads, F.col("bucket") == F.col("of"), "left")
+    return joined.select("key", "text", F.coalesce("next", "head").alias("next"))
 
 
 def compare_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the edited text and all that op1 reports, with the recovered digests of both differences."""
-    half = F.expr("length(__text) div 2").cast("int")
-    edited = with_next(docs, key, text).withColumn("__edited", F.concat(F.expr("left(__text, length(__text) - length(__text) div 2)"), F.substring(F.col("__next"), F.lit(1), half)))
-    hashed = edited.select(key, F.length("__text").cast("long").alias("n_chars"), "__edited", digests(F.col("__text")).alias("__a"), digests(F.col("__edited")).alias("__e"), digests(F.col("__next")).alias("__n"))
+    half = F.expr("length(text) div 2").cast("int")
+    edited = with_next(docs, key, text).withColumn("edited", F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.substring(F.col("next"), F.lit(1), half)))
+    hashed = edited.select(F.col("key").alias(key), F.length("text").cast("long").alias("n_chars"), F.col("edited").alias("__edited"), digests(F.col("text")).alias("__a"), digests(F.col("edited")).alias("__e"), digests(F.col("next")).alias("__n"))
     sketched = hashed.withColumns({"__sa": sketch("__a"), "__se": sketch("__e"), "__sn": sketch("__n")})
     told = sketched.withColumns({"__de": difference("__a", "__e", "__sa", "__se"), "__dn": difference("__a", "__n", "__sa", "__sn")})
     return told.select(

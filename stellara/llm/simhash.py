@@ -49,6 +49,8 @@ RUN = 64
 SIMILARITY = 0.8
 #: Of pairs at the similarity, bands miss (1 - 0.8^5)^30 = 0.0007 %.
 BANDS, ROWS, SLICE, BATCH = 30, 5, 2048, 256
+#: No task gets more than about this share of the pairs for one text.
+SPREAD = 500
 
 
 def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
@@ -329,14 +331,24 @@ def node_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED)
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame, end: str, n: int) -> DataFrame:
+    """pairs and the set of one end, as `end`_set. A set that many pairs want is copied to several tasks, so that none gets more
+    than about 1 / SPREAD of the pairs of that end; only the numbers of copies are broadcast, under SPREAD of them."""
+    uses = pairs.groupBy(F.col(end).alias("of")).agg(F.count(F.lit(1)).alias("uses"))
+    limit = max(n // SPREAD, 1000)
+    copies = F.broadcast(uses.where(F.col("uses") > limit).select("of", F.ceil(F.col("uses") / limit).cast("int").alias("copies")))
+    wanted = sets.join(uses.select("of"), F.col("node") == F.col("of"), "left_semi").join(copies, F.col("node") == F.col("of"), "left")
+    held = wanted.select("node", F.col("set").alias(f"{end}_set"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    dealt = pairs.join(copies, F.col(end) == F.col("of"), "left").withColumn("to", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("of", "copies")
+    return dealt.join(held, (F.col(end) == F.col("node")) & (F.col("to") == F.col("copy"))).drop("node", "to", "copy")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs(a, b) whose shingle sets have the Jaccard similarity; checkpointed."""
     n = pairs.count()
-    uses = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("__uses"))
-    held = join_classes(pairs.withColumnRenamed("a", "node"), sets.join(uses, "node"), "node", n, "__uses").select(F.col("node").alias("a"), "b", F.col("set").alias("__a"))
-    both = held.join(sets.select(F.col("node").alias("b"), F.col("set").alias("__b")), "b")
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return cut(both.where(shared / (F.size("__a") + F.size("__b") - shared) >= similarity).select("a", "b"))
+    both = with_sets(with_sets(pairs, sets, "a", n), sets, "b", n)
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return cut(both.where(shared / (F.size("a_set") + F.size("b_set") - shared) >= similarity).select("a", "b"))
 
 
 def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:

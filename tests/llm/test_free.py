@@ -305,6 +305,25 @@ def test_rows_without_an_own_key_stay_if_their_texts_differ(spark):
     assert Counter(map(tuple, got)) == Counter({(None, prose(21, 60)), (None, prose(22, 60)), (4, prose(23, 60)), (4, prose(24, 60)), (4, prose(25, 60)), (9, prose(26, 60))})
 
 
+def test_a_wanted_set_is_copied(spark, monkeypatch):
+    """Many pairs of one text: all keep both sets, whatever is copied."""
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 4000)] + [(i, 9000) for i in range(5, 3000)], "a long, b long")
+    sets = spark.createDataFrame([(i, [i, i + 1]) for i in [*range(1, 4000), 9000, 9001]], "node long, set array<long>")
+    monkeypatch.setattr(simhash, "SPREAD", 100)
+    got = simhash.with_sets(simhash.with_sets(pairs, sets, "a", 7000), sets, "b", 7000).collect()
+    assert Counter((r["a"], r["b"]) for r in got) == Counter(map(tuple, pairs.collect()))
+    assert all(r["a_set"] == [r["a"], r["a"] + 1] and r["b_set"] == [r["b"], r["b"] + 1] for r in got)
+
+
+def test_hubs_are_linked_like_others(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_LINKS", 20)
+    monkeypatch.setattr(components, "HUBS", 10)
+    links = [(5, 100 + i) for i in range(150)] + [(1000 + i, 2000) for i in range(90)] + [(3000 + i, 3001 + i) for i in range(12)] + [(249, 1000)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[100 + i] == 5 for i in range(150)) and all(got[1000 + i] == 5 for i in range(90)) and got[2000] == 5
+    assert all(got[3001 + i] == 3000 for i in range(12))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
