@@ -7,11 +7,12 @@ are ranges of days, which go to the scan of orders. An order outside the calenda
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stellara.operators.predicates import Predicate
 from stellara.schema import CATALOG, DIMENSIONS, FACT
@@ -35,6 +36,21 @@ def cents(c: str, factor: int = 100) -> Column:
     return F.round(F.col(c) * factor).cast("long")
 
 
+_schemas: dict[tuple[str, int, int], StructType] = {}
+
+
+def schema_of(spark: SparkSession, path: str) -> StructType:
+    """A table's schema, read from its files once as long as they don't change: each reading is a job of its own."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        if len(_schemas) >= 1000:
+            _schemas.clear()
+        _schemas[key] = spark.read.parquet(path).schema
+    return _schemas[key]
+
+
 def attributes(day: date) -> dict[str, int]:
     """The date dimension's row of a day."""
     n = day.timetuple().tm_yday
@@ -56,7 +72,8 @@ class Star:
         return (passed[0], passed[-1], (passed[-1] - passed[0]).days + 1 == len(passed)) if passed else None
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        return self.spark.read.schema(schema_of(self.spark, path)).parquet(path)
 
     def view(self, name: str) -> DataFrame:
         return {"supplier": self.supplier, "customer": self.customer, "part": self.part, "date": self.date}[name]()
