@@ -185,6 +185,7 @@ class Transducer:
         self.length = np.zeros(self.stable.start + 1, np.int32)
         for piece, rank in ranks.items():
             self.length[rank] = len(piece)
+        self.lengths, self.known = self.length.tolist(), {}
         self.table = np.zeros((len(token) + 1, 256), np.int32)
         self.open: list[tuple[int, ...]] = [(), ()]
         self.number = {ROOT: 1}
@@ -265,10 +266,10 @@ class Transducer:
         return merge_by_rank(self.ranks, piece) if out is None else out
 
     def walk(self, piece: bytes) -> list[int] | None:
-        """None if the split isn't unique."""
+        """The ids of one piece, byte by byte; None if the split isn't unique."""
         out: list[int] = []
-        last, state, known = [self.stable.start], 1, {}
-        length, start, table = self.length.tolist(), self.stable.start + 1, self.table
+        last, state, known = [self.stable.start], 1, self.known
+        length, start, table = self.lengths, self.stable.start + 1, self.table
         begun = 0  # bytes whose tokens have been given away; last[0] is the token before them
         for i, byte in enumerate(piece):
             to = int(table[state, byte])
