@@ -38,7 +38,7 @@ FOLDS, FOLD = 4, 2
 #: Rows of label 0 and of label 1 to fit on, at most.
 SAMPLE = (3000, 1500)
 #: Documents whose votes the label model is fitted to, at most.
-UNLABELLED = 6000
+UNLABELLED = 4000
 STEMS = (4, 5, 6, 7)
 TIMES = (2, 4, 8)
 VOTERS, PER_VOTER = 8, 12
@@ -70,57 +70,104 @@ def counted(found: Iterable[tuple[str, ...]]) -> set[str]:
     return out
 
 
-def feature_sets(texts: list[str]) -> list[set[str]]:
-    kept: dict[str, tuple[str, ...]] = {}
-    out = []
-    for text in texts:
-        words = set(WORD.findall(text.lower()))
-        kept.update((w, features(w)) for w in words if w not in kept)
-        out.append(counted(kept[w] for w in words))
-    return out
-
-
-def telling(sets: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, float]]:
-    """(log odds, G statistic) of each feature that LEAST_TEXTS texts have: how far labels depend on it."""
-    on, off = Counter(), Counter()
-    for own, label in zip(sets, y, strict=True):
-        (on if label > 0.5 else off).update(own)
-    n1 = max(float((y > 0.5).sum()), 1.0)
-    n0 = max(len(y) - n1, 1.0)
-    out = {}
-    for f in on.keys() | off.keys():
-        c, d = on[f], off[f]
-        if c + d >= LEAST_TEXTS:
-            share = (c + d) / (n1 + n0)
-            g = 2 * sum(k * math.log(k / e) for k, e in ((c, n1 * share), (d, n0 * share), (n1 - c, n1 * (1 - share)), (n0 - d, n0 * (1 - share))) if k > 0 and e > 0)
-            out[f] = (math.log((c + 0.5) / (n1 + 1)) - math.log((d + 0.5) / (n0 + 1)), g)
-    return out
-
-
-def voters(told: dict[str, tuple[float, float]]) -> list[tuple[frozenset[str], frozenset[str]]]:
-    """(strong, weak) features of lexicon and stem voters: the most telling of each kind, dealt in turn."""
-    out = [(frozenset(INSULTS[i::3]), frozenset()) for i in range(3)]
+def marked(text: str) -> tuple[list[str], np.ndarray]:
+    """A text's words and stems, and the hash of each; a stem comes as often as words have it."""
+    words = set(WORD.findall(text.lower()))
+    found = [*words, *(w[:n] + "*" for w in words for n in STEMS if len(w) > n)]
+    return found, np.fromiter(map(hash, found), np.int64, len(found))
+
+
+def repeated(mark: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the features that say that k words or more have a stem."""
+    return mark + np.array(k) * np.array(0x1E3779B97F4A7C15)
+
+
+class Bags:
+    """Features of texts, numbered: entry k says that text row[k] has feature column[k].
+
+    What fewer than LEAST_TEXTS texts have is left out. Features are hashes of 64 bits; names are looked up for those that are asked for.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.n = texts, len(texts)
+        parts = []
+        for t in texts:
+            own, count = np.unique(marked(t)[1], return_counts=True)
+            parts.append(np.concatenate([own, *(repeated(own[count >= k], k) for k in TIMES)]))
+        keys, column, count = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_inverse=True, return_counts=True)
+        often = count >= LEAST_TEXTS
+        kept = often[column]
+        self.keys = keys[often]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(p) for p in parts])[kept]
+        self.column = (np.cumsum(often, dtype=np.int32) - 1)[column[kept]]
+
+    def names(self, chosen: np.ndarray) -> dict[str, int]:
+        """The chosen features by name."""
+        bases: dict[int, list[tuple[int, int]]] = {}
+        for k in (0, *TIMES):
+            for i, base in zip(chosen.tolist(), repeated(self.keys[chosen], -k).tolist(), strict=True):
+                bases.setdefault(base, []).append((i, k))
+        out: dict[str, int] = {}
+        for t in self.texts:
+            if len(out) == len(chosen):
+                break
+            found, mark = marked(t)
+            for f, h in zip(found, mark.tolist(), strict=True):
+                if h in bases:
+                    out.update((f"{f}{k or ''}", i) for i, k in bases.pop(h))
+        return out
+
+    def telling(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log odds, G statistic) of each feature in the first len(y) texts: how far labels depend on it. 0 for a feature of too few."""
+        end = int(np.searchsorted(self.row, len(y)))
+        row, column = self.row[:end], self.column[:end]
+        on, size = y > 0.5, len(self.keys)
+        c, d = np.bincount(column[on[row]], minlength=size).astype(float), np.bincount(column[~on[row]], minlength=size).astype(float)
+        n1 = max(float(on.sum()), 1.0)
+        n0 = max(len(y) - n1, 1.0)
+        share = (c + d) / (n1 + n0)
+        g = np.zeros(size)
+        for k, e in ((c, n1 * share), (d, n0 * share), (n1 - c, n1 * (1 - share)), (n0 - d, n0 * (1 - share))):
+            some = (k > 0) & (e > 0)
+            g[some] += 2 * k[some] * np.log(k[some] / e[some])
+        odds = np.log((c + 0.5) / (n1 + 1)) - np.log((d + 0.5) / (n0 + 1))
+        few = c + d < LEAST_TEXTS
+        odds[few] = g[few] = 0
+        return odds, g
+
+    def have(self, chosen: np.ndarray) -> np.ndarray:
+        """Which texts have one of the chosen features."""
+        mark = np.zeros(len(self.keys), bool)
+        mark[chosen] = True
+        out = np.zeros(self.n, bool)
+        out[self.row[mark[self.column]]] = True
+        return out
+
+
+def voters(bags: Bags, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(strong features, weak features, whether it may say clean) of lexicon and stem voters: the most telling of each kind, dealt in turn."""
+    odds, g = bags.telling(y)
+    number = bags.names(np.flatnonzero((odds >= WEAK_ODDS) & (g >= WEAK_G)))
+    out = [(np.array([number[w] for w in INSULTS[i::3] if w in number], int), np.zeros(0, int), False) for i in range(3)]
     for stems in (False, True):
-        kind = sorted((f for f in told if ("*" in f) == stems), key=lambda f: (-told[f][1], f))
-        strong = [f for f in kind if told[f][0] >= LEAST_ODDS and told[f][1] >= VOTER_G][: VOTERS * PER_VOTER]
-        weak = [f for f in kind if told[f][0] >= WEAK_ODDS and told[f][1] >= WEAK_G and f not in set(strong)]
-        out += [(frozenset(strong[i::VOTERS]), frozenset(weak[i::VOTERS])) for i in range(VOTERS) if strong[i::VOTERS]]
+        kind = [i for f, i in sorted(number.items(), key=lambda x: (-g[x[1]], x[0])) if ("*" in f) == stems]
+        strong = [i for i in kind if odds[i] >= LEAST_ODDS and g[i] >= VOTER_G][: VOTERS * PER_VOTER]
+        weak = [i for i in kind if i not in set(strong)]
+        out += [(np.array(strong[i::VOTERS], int), np.array(weak[i::VOTERS], int), True) for i in range(VOTERS) if strong[i::VOTERS]]
     return out
 
 
-def votes(texts: list[str], sets: list[set[str]], held: list[tuple[frozenset[str], frozenset[str]]]) -> np.ndarray:
-    """A row of 1 (toxic), 0 and -1 (clean) for each text. The insults' voters never say clean."""
+def votes(texts: list[str], bags: Bags, held: list[tuple[np.ndarray, np.ndarray, bool]]) -> np.ndarray:
+    """A row of 1 (toxic), 0 and -1 (clean) for each text."""
     patterns = [re.compile(p.format(insults="|".join(INSULTS)), re.S) for p in PATTERNS]
-    words = frozenset(INSULTS)
     out = np.zeros((len(texts), len(held) + len(patterns)), dtype=np.int8)
-    for row, (t, own) in enumerate(zip(texts, sets, strict=True)):
-        for j, (strong, weak) in enumerate(held):
-            if not strong.isdisjoint(own):
-                out[row, j] = 1
-            elif not strong <= words and weak.isdisjoint(own):
-                out[row, j] = -1
-        if not words.isdisjoint(own):
-            out[row, len(held) :] = [bool(p.search(t.lower())) for p in patterns]
+    for j, (strong, weak, may) in enumerate(held):
+        says = bags.have(strong)
+        out[:, j] = np.where(says, 1, np.where(may & ~says & ~bags.have(weak), -1, 0))
+    for i, t in enumerate(texts):
+        low = t.lower()
+        if any(w in low for w in INSULTS):
+            out[i, len(held) :] = [bool(p.search(low)) for p in patterns]
     return out
 
 
@@ -153,20 +200,23 @@ def label_model(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return post, p, together
 
 
-def logistic(sets: list[set[str]], target: np.ndarray) -> tuple[dict[str, float], float]:
+def logistic(bags: Bags, target: np.ndarray) -> tuple[dict[str, float], float]:
     """Weights and bias by proximal AdaGrad over all rows at once; soft targets, telling features only."""
-    number = {f: i for i, f in enumerate(sorted(f for f, (_, g) in telling(sets, target).items() if g >= FEATURE_G))}
-    row = np.repeat(np.arange(len(sets)), [sum(f in number for f in own) for own in sets])
-    column = np.array([number[f] for own in sets for f in own if f in number], dtype=np.int64)
+    found = sorted(bags.names(np.flatnonzero(bags.telling(target)[1] >= FEATURE_G)).items())
+    number = {f: k for k, (f, _) in enumerate(found)}
+    place = np.full(len(bags.keys), -1)
+    place[[i for _, i in found]] = np.arange(len(found))
+    known = place[bags.column] >= 0
+    row, column, n = bags.row[known], place[bags.column[known]], bags.n
     w, square, bias, bias_square = np.zeros(len(number)), np.full(len(number), 1e-8), float(np.log(target.mean() / (1 - target.mean()))), 1e-8
     for _ in range(STEPS):
-        z = np.bincount(row, w[column], len(sets)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(sets)
+        z = np.bincount(row, w[column], n) + bias
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
         grad = np.bincount(column, g[row], len(number))
         square += grad * grad
         rate = 0.3 / np.sqrt(square)
         w -= rate * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY / math.sqrt(len(sets)), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY / math.sqrt(n), 0)
         bias_square += g.sum() ** 2
         bias -= 0.1 * g.sum() / math.sqrt(bias_square)
     return {f: float(w[i]) for f, i in number.items() if w[i]}, bias
@@ -181,11 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 def fit(texts: list[str], y: np.ndarray, odds: float, others: list[str]) -> tuple[dict[str, float], float]:
     """Labels choose the voters; the label model and the classifier see the texts of both samples without labels."""
-    sets = feature_sets(texts)
-    held = voters(telling(sets, y))
-    every = sets + feature_sets(others)
-    post = label_model(votes(texts + others, every, held))[0]
-    weights, bias = logistic(every, post)
+    every = texts + others
+    bags = Bags(every)
+    post = label_model(votes(every, bags, voters(bags, y)))[0]
+    weights, bias = logistic(bags, post)
     mean = min(max(float(post.mean()), 1e-6), 1 - 1e-6)
     return weights, bias + odds - math.log(mean / (1 - mean))
 

@@ -481,6 +481,22 @@ def test_classifiers_on_odd_rows(spark, op, odd_docs, no_docs, tmp_path):
     assert len({r["score"] for r in none}) == 1
 
 
+def test_bags_hold_what_enough_texts_have():
+    texts = [prose(k % 7, 12) + (" Idiotic" if k % 2 else "") for k in range(30)]
+    bags = toxicity.Bags(texts)
+    sets = [toxicity.counted(toxicity.features(w) for w in set(toxicity.WORD.findall(t.lower()))) for t in texts]
+    count = Counter(f for own in sets for f in own)
+    names = bags.names(np.arange(len(bags.keys)))
+    assert set(names) == {f for f, n in count.items() if n >= toxicity.LEAST_TEXTS} and sorted(names.values()) == list(range(len(names)))
+    for f, i in names.items():
+        assert bags.have(np.array([i])).tolist() == [f in own for own in sets]
+    y = np.arange(30) % 2
+    odds, g = bags.telling(y)
+    i = names["idiot*"]
+    assert odds[i] == pytest.approx(math.log(15.5 / 16) - math.log(0.5 / 16)) and g[i] == pytest.approx(2 * 30 * math.log(2))
+    assert bags.have(np.array([i])).tolist() == (y == 1).tolist()
+
+
 def test_toxicity_scores_by_plain_sums(spark, odd_docs):
     weights, bias = {"alpha": 0.5, "alph*": 0.25, "alph*2": 1.0, "word": -0.5, "beta": 0.125}, -0.75
 
@@ -563,6 +579,6 @@ def test_posteriors_are_no_copy_of_labels():
     toxic = rng.random(1500) < 0.3
     texts = [" ".join([*rng.choice(WORDS, 30), *(rng.choice(["idiot", "scum", "vile", "rotten", "foul"], 3) if t else [])]) for t in toxic]
     y = np.where(rng.random(1500) < 0.1, ~toxic, toxic).astype(float)
-    sets = toxicity.feature_sets(texts)
-    post = toxicity.label_model(toxicity.votes(texts, sets, toxicity.voters(toxicity.telling(sets, y))))[0]
+    bags = toxicity.Bags(texts)
+    post = toxicity.label_model(toxicity.votes(texts, bags, toxicity.voters(bags, y)))[0]
     assert ((post > 0.5) == toxic).mean() > 0.97 and ((post > 0.5) != (y > 0.5)).sum() > 100
