@@ -1,9 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs are its lines; those over PIECE code points are cut at the first end of a sentence from LEAST code points on, else
-at PIECE, so that the pieces after an insertion soon are the old ones again. They are hashed to digests. A sketch has TABLES
-rows of WIDTH cells; a digest goes to one cell of each row, adding
-to its count and, by exclusive or, to its key and its check. Sketches of two versions subtract cell by
+A text's paragraphs are its lines; those over LEAST code points are cut at the first end of a sentence after that many, at PIECE code
+points at the latest, so that the pieces after an insertion soon are the old ones again. They are hashed to digests. A sketch has
+TABLES rows of WIDTH cells; a digest goes to one cell of each row, adding to its count and, by exclusive or, to its key and its check. Sketches of two versions subtract cell by
 cell; what both have is gone, and cells with one digest left are peeled until the differing digests are recovered or
 nothing more comes off. Then a larger sketch is tried: 4 times the cells, split by a digest's low bits into
 sub-sketches of the first size, with other bits choosing cells. Should LEVELS sizes fail, the sets are compared.
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stellara.llm.common import table
 
-LEAST, PIECE = 200, 480
+LEAST, PIECE = 320, 480
 PIECES = f"(?:[^\\n]{{{LEAST},{PIECE - 1}}}?[.!?]|[^\\n]{{1,{PIECE}}})\\n*|\\n+"
 TABLES, WIDTH, BITS = 3, 16, 4
 LEVELS = 9
