@@ -355,7 +355,8 @@ def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, t
     """(a, b): links between classes(node, least) that connect all whose sets share a band and have the similarity.
 
     First each class is compared with the least of its band. What this leaves apart in a band is then compared
-    with all of the band but its own component; the largest component of a band is not compared with itself.
+    with all of the band but its own component; the largest component of a band is not compared with itself. A pair that shares
+    several bands is compared in the first of them, where it stands apart as in any other.
     """
     fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
     spelt = marks.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
@@ -371,9 +372,13 @@ def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, t
     placed = met.select("band", "node", "size").join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     shares = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("__n")).groupBy("band").agg(F.max(F.struct("__n", "root")).alias("__most"), F.count(F.lit(1)).alias("__roots"))
     split = cut(placed.join(shares.where("__roots > 1").select("band", F.col("__most.root").alias("__top")), "band"))
-    apart = split.where(F.col("root") != F.col("__top")).select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("size").alias("__size"), F.col("root").alias("__root"))
-    rest = apart.join(split, F.col("band") == F.col("__band")).where(F.col("root") != F.col("__root")).where((F.col("root") == F.col("__top")) | (F.col("a") < F.col("node")))
-    pairs = rest.where(fit(F.col("size"), F.col("__size"))).select("a", F.col("node").alias("b")).distinct()
+    spelt_whole = marks.dropDuplicates(["node"]).select(F.col("node").alias("__of"), "bands")
+    split = split.join(spelt_whole, F.col("node") == F.col("__of")).drop("__of")
+    apart = split.where(F.col("root") != F.col("__top")).select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("size").alias("__size"), F.col("root").alias("__root"), F.col("bands").alias("__bands"))
+    once = F.array_position("bands", F.col("band")) == F.array_position("bands", F.element_at(F.array_intersect("bands", "__bands"), 1))
+    unlike = (F.col("root") != F.col("__root")) & ((F.col("root") == F.col("__top")) | (F.col("a") < F.col("node")))
+    rest = apart.join(split, (F.col("band") == F.col("__band")) & unlike & fit(F.col("size"), F.col("__size")) & once)
+    pairs = rest.select("a", F.col("node").alias("b"))
     return first.unionByName(verified(cut(pairs), sets, similarity))
 
 
