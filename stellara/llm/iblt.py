@@ -32,7 +32,8 @@ LEVELS = 9
 ROUNDS = 16
 #: Rows that a bucket of neighbours is to have, and buckets at most (they get more rows then): their first rows are broadcast.
 BUCKET_ROWS, BUCKETS = 1024, 65_536
-STRIDE = 256
+#: Borders that are looked through at a time, at least.
+STRIDE = 8
 
 _CELL = "named_struct('c', {c}, 'k', {k}, 'h', {h})"
 _CHECK = "(xxhash64({x}) & 4294967295L)"
@@ -128,10 +129,10 @@ def bucket_of(order: Column, found: list[tuple[int, int, int]]) -> Column:
     """How many borders are not after a row, by two steps over a sorted literal."""
     if not found:
         return F.lit(0)
-    kind = "array<struct<void: int, key: bigint, mark: bigint>>"
+    kind, stride = "array<struct<void: int, key: bigint, mark: bigint>>", max(STRIDE, math.isqrt(len(found)))
     held = lambda rows: F.from_json(F.lit(json.dumps([dict(zip(("void", "key", "mark"), r, strict=True)) for r in rows])), kind)
-    block = F.greatest(F.size(F.filter(held(found[::STRIDE]), lambda c: c <= order)) - 1, F.lit(0)) * STRIDE
-    return block + F.size(F.filter(F.slice(held(found), block + 1, STRIDE), lambda c: c <= order))
+    block = F.greatest(F.size(F.filter(held(found[::stride]), lambda c: c <= order)) - 1, F.lit(0)) * stride
+    return block + F.size(F.filter(F.slice(held(found), block + 1, stride), lambda c: c <= order))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
