@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by the similarity of five-word shingle sets.
+    """Keep one document of each group linked by the similarity of five-word shingle sets, met by Golay keys of their SimHash fingerprints.
 
     Texts without words (null, empty) are one group; the row of the least doc_id stays, nulls last; unlike texts that
     share a doc_id, or have none, are told apart; of rows alike in doc_id and words one stays. Columns are kept, whatever their names.

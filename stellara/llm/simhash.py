@@ -9,8 +9,9 @@ fingerprints have. Syndromes list the error patterns that lead to such codewords
 Distinct fingerprints are dealt by key and sorted; runs of a key are compared bit by bit. Only links that
 join two trees of a task's forest leave it, so a group of copies gives no pairs but a tree.
 
-The pipeline's stage asks for similarity 0.8, where fingerprints are too coarse to find or to judge: there, bands of
-minima of the shingle sets propose pairs, and the sets themselves decide.
+The pipeline's stage asks for similarity 0.8, where about 15 % of a fingerprint's bits differ. There, fingerprints of 23 lanes are
+cut into segments of the code's whole length, and each segment's key is one codeword: of those within RADIUS bits, the one whose
+differing bits had the closest votes. Rows that share a key are compared by size and by three lanes; of what is near, the shingle sets decide.
 
 Defined cases: a null or empty text, and one of separators only, has the fingerprint 0 and is linked like any
 other; fewer words than a shingle's are one shingle; texts of any length are read whole; rows that repeat a
@@ -47,15 +48,22 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = tuple(combinations(range(len(SEGMENTS)), 2))
 RUN = 64
 SIMILARITY = 0.8
-#: Of pairs at the similarity, bands miss (1 - 0.8^5)^30 = 0.0007 %.
-BANDS, ROWS, SLICE, BATCH = 30, 5, 2048, 256
+BATCH = 256
+#: Of pairs at the similarity, one key in five agrees (in six for sets of 4 and 5 shingles), so that 64 miss under 0.0001 % (0.001 %).
+LANES, KEYS = 23, 64
+#: Of the bits of CHECK lanes, 29 differ in the mean at the similarity (36 for sets of 4 and 5), with a deviation of 5; 96, of 7, in unlike sets.
+CHECK, APART = 3, 64
+#: Of the 1,472 bits of all lanes, 223 differ in the mean at the similarity, with a deviation of 14, if sets have over FEW shingles.
+WIDE, FEW = 312, 16
+#: Runs of a key beyond this many rows are compared in blocks.
+LONG, BLOCK = 512, 64
 #: No task gets more than about this share of the pairs for one text.
 SPREAD = 500
 
 
 def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
     """The SimHash of a UTF-8 text, 64 bits a lane: bits set where over half of its word shingles have them.
-    The first lane's hash is XXH64; further lanes mix it again."""
+    The first lane's hash is XXH64; each further lane mixes it with numbers of its own."""
     found = text.lower().split()
     if not found:
         return [0] * lanes
@@ -69,14 +77,26 @@ def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
     digest, total = xxhash.xxh64_intdigest, np.zeros((lanes, 64), np.int64)
     for at in range(0, len(starts), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(line[s:e], SEED) for s, e in spans], dtype="<u8")
-        for lane in range(lanes):
-            if lane:
-                hashes = mixed(hashes)
-            total[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += ballots(np.array([digest(line[s:e], SEED) for s, e in spans], dtype="<u8"), lanes)
     return np.packbits(total * 2 > len(starts), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
+@cache
+def turns(lanes: int) -> np.ndarray:
+    """What lanes after the first add by exclusive or, and the odd numbers that they multiply by."""
+    return np.random.default_rng(SEED).integers(0, 1 << 63, (lanes, 2), dtype=np.uint64)[1:].T * np.uint64(2) + np.uint64(1)
+
+
+def ballots(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """For each lane's 64 bits, how many hashes have it."""
+    total, (turn, by) = np.zeros(lanes * 64, np.int64), turns(lanes)
+    for at in range(0, len(hashes), 255):
+        own = hashes[at : at + 255, None]
+        own = np.concatenate([own, mixed((own ^ turn) * by)], axis=1).astype("<u8", copy=False)
+        total += np.unpackbits(own.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return total.reshape(lanes, 64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Another 64 bits from 64: two rounds of multiplying by an odd number and folding the high bits down."""
     for _ in range(2):
@@ -123,6 +143,7 @@ class Golay:
                 by[syndrome].append(sum(1 << i for i in bits))
         self.first = np.cumsum([0, *map(len, by)])
         self.patterns = np.array([p for ps in by for p in ps], dtype=np.int64)
+        self.flips = (self.patterns[:, None] >> np.arange(LENGTH) & 1).astype(np.float32)
         self.low, self.high = np.zeros(1 << 12, np.int64), np.zeros(1 << 11, np.int64)
         for i, r in enumerate(bit):
             half, j = (self.low, i) if i < 12 else (self.high, i - 12)
@@ -133,6 +154,17 @@ class Golay:
         s = self.low[words & 4095] ^ self.high[words >> 12]
         return self.first[s], self.first[s + 1] - self.first[s]
 
+    def nearest(self, votes: np.ndarray) -> np.ndarray:
+        """For each row of LENGTH votes (above 0: a set bit), the index of the codeword within RADIUS bits that the fewest votes are against."""
+        words = ((votes > 0) << np.arange(LENGTH)).sum(axis=1)
+        first, n = self.near(words)
+        row, starts = np.repeat(np.arange(len(words)), n), np.cumsum(n) - n
+        at = np.arange(len(row)) - starts[row] + first[row]
+        cost = np.einsum("ij,ij->i", self.flips[at], np.abs(votes).astype(np.float32)[row])
+        least = np.flatnonzero(cost == np.minimum.reduceat(cost, starts)[row])
+        least = least[np.searchsorted(row[least], np.arange(len(words)))]
+        return (words ^ self.patterns[at[least]]) >> CHECKS
+
     def keys(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(keys, rows of fps that have them) for each pair of segments."""
         words = [((fps >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
@@ -276,30 +308,20 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in spans), np.uint64, n))
 
 
-@cache
-def permutations() -> np.ndarray:
-    """What bands() adds by exclusive or, and the odd numbers that it multiplies by."""
-    return np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def segment_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of shingle hashes, KEYS keys and its fingerprint.
 
-
-def bands(own: np.ndarray) -> np.ndarray:
-    """BANDS hashes, each of ROWS minima of the set under as many permutations; sets of a Jaccard similarity j
-    have one of them in common with a chance of 1 - (1 - j^ROWS)^BANDS."""
-    turn, by = permutations()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), SLICE):
-        np.minimum(least, ((own[at : at + SLICE] ^ turn) * by).min(axis=1), out=least)
-    least = mixed(least).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in range(ROWS):
-        out = mixed(out ^ least[:, row])
-    return out
+    A key is a segment's number and its codeword. Bits of no vote more for than against are unset, as in any fingerprint."""
+    votes = np.stack([2 * ballots(s, LANES).ravel() - len(s) for s in sets])
+    words = golay().nearest(votes[:, : KEYS * LENGTH].reshape(-1, LENGTH)).reshape(-1, KEYS)
+    checks = np.packbits(votes > 0, axis=1, bitorder="little").view("<u8")
+    return (np.arange(KEYS) << 12 | words).astype(np.int32), checks
 
 
 def set_marks(docs: DataFrame, key: str, text: str, words: int, whole: bool = False) -> DataFrame:
-    """key, node (a hash of the text's shingle set), size and either its bands or, if whole, the set."""
+    """key, node (a hash of the text's shingle set), size and either its keys and checks (segment_keys) or, if whole, the set."""
     ship(docs.sparkSession)
-    rows, last = docs.select(key, F.col(text).cast("binary").alias("__text")), "set" if whole else "bands"
+    rows, last = docs.select(key, F.col(text).cast("binary").alias("__text")), "set array<long>" if whole else "keys array<int>, checks array<long>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,10 +329,69 @@ def set_marks(docs: DataFrame, key: str, text: str, words: int, whole: bool = Fa
                 part = batch.slice(at, BATCH)
                 sets = [shingle_set(x.as_py() or b"", words) for x in part.column(1)]
                 node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
-                told = [(s if whole else bands(s) if len(s) else s).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(told, pa.list_(pa.int64()))], [key, "node", "size", last])
+                told = [part.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32())]
+                if whole:
+                    yield pa.RecordBatch.from_arrays([*told, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], [key, "node", "size", "set"])
+                    continue
+                keys, checks = segment_keys(sets)
+                keys = pa.array([k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*told, keys, pa.array(list(checks.view(np.int64)), pa.list_(pa.int64()))], [key, "node", "size", "keys", "checks"])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, node long, size int, {last}")
+
+
+def partnered(keys: np.ndarray, sizes: np.ndarray, checks: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each row, sorted by key and size, has another of its key whose size fits the similarity, within APART bits."""
+    found, lanes = np.zeros(len(keys), bool), list(np.ascontiguousarray(checks.T))
+    if not len(keys):
+        return found
+    edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
+    lengths = np.diff(edges)
+    for k in np.flatnonzero(lengths > LONG).tolist():
+        for i in range(edges[k], edges[k + 1], BLOCK):
+            j = min(i + BLOCK, edges[k + 1])
+            end = edges[k] + np.searchsorted(sizes[edges[k] : edges[k + 1]], sizes[j - 1] / similarity + 1)
+            near = sum(np.bitwise_count(x[i:j, None] ^ x[None, i:end]) for x in lanes) <= APART
+            near[np.arange(j - i), np.arange(j - i)] = False
+            found[i:j] |= near.any(axis=1)
+            found[i:end] |= near.any(axis=0)
+    at, d = np.flatnonzero(np.repeat(lengths <= LONG, lengths)), 1
+    while len(at):
+        at = at[at + d < len(keys)]
+        at = at[(keys[at] == keys[at + d]) & (sizes[at] >= similarity * sizes[at + d])]
+        hit = at[sum(np.bitwise_count(x[at] ^ x[at + d]) for x in lanes) <= APART]
+        found[hit] = found[hit + d] = True
+        d += 1
+    return found
+
+
+def met_in_keys(marks: DataFrame, similarity: float) -> DataFrame:
+    """(band, node, size): the different nodes of marks under each of their keys, as band, if another node there is near."""
+    own = marks.dropDuplicates(["node"]).select("node", "size", "checks", F.explode("keys").alias("band"))
+    rows = own.select("band", "size", "node", *[F.col("checks")[i].alias(f"c{i}") for i in range(CHECK)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            band, size, node, *checks = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3 + CHECK))
+            near = partnered(band, size, np.stack(checks, axis=1).view(np.uint64), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(band[near]), pa.array(node[near]), pa.array(size[near])], ["band", "node", "size"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            band = batch.column(0).to_numpy()
+            last = int(np.searchsorted(band, band[-1]))
+            if last or (held and held[-1].column(0)[-1].as_py() != band[0]):
+                if last:
+                    held.append(batch.slice(0, last))
+                yield settle(held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield settle(held)
 
-    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, node long, size int, {last} array<long>")
+    return rows.repartition("band").sortWithinPartitions("band", "size", "node").mapInArrow(run, "band int, node long, size int")
 
 
 def with_node(docs: DataFrame, text: str, words: int, node: str) -> DataFrame:
@@ -352,16 +433,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """(a, b): links between classes(node, least) that connect all whose sets share a band and have the similarity.
+    """(a, b): links between classes(node, least) that connect all whose sets share a Golay key, called band, and have the similarity.
 
     First each class is compared with the least of its band. What this leaves apart in a band is then compared
     with all of the band but its own component; the largest component of a band is not compared with itself. A pair that shares
-    several bands is compared in the first of them, where it stands apart as in any other.
+    several bands is compared in the first of them, where it stands apart as in any other, unless all lanes tell that it is far.
     """
     fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
-    spelt = marks.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
-    heads = spelt.groupBy("band").agg(F.min(F.struct("node", "size")).alias("__head"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    met = cut(spelt.join(heads, "band"))
+    near = cut(met_in_keys(marks, similarity))
+    heads = near.groupBy("band").agg(F.min(F.struct("node", "size")).alias("__head"))
+    met = cut(near.join(heads, "band"))
     involved = classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("__least")).distinct()
     own = docs.join(involved, F.col(key).eqNullSafe(F.col("__least")), "left_semi")
     sets = cut(set_marks(own, key, text, words, whole=True).select("node", "set").dropDuplicates(["node"]))
@@ -372,12 +453,14 @@ def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, t
     placed = met.select("band", "node", "size").join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     shares = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("__n")).groupBy("band").agg(F.max(F.struct("__n", "root")).alias("__most"), F.count(F.lit(1)).alias("__roots"))
     split = cut(placed.join(shares.where("__roots > 1").select("band", F.col("__most.root").alias("__top")), "band"))
-    spelt_whole = marks.dropDuplicates(["node"]).select(F.col("node").alias("__of"), "bands")
+    spelt_whole = marks.dropDuplicates(["node"]).select(F.col("node").alias("__of"), F.col("keys").alias("bands"), "checks")
     split = split.join(spelt_whole, F.col("node") == F.col("__of")).drop("__of")
-    apart = split.where(F.col("root") != F.col("__top")).select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("size").alias("__size"), F.col("root").alias("__root"), F.col("bands").alias("__bands"))
+    apart = split.where(F.col("root") != F.col("__top")).select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("size").alias("__size"), F.col("root").alias("__root"), F.col("bands").alias("__bands"), F.col("checks").alias("__checks"))
     once = F.array_position("bands", F.col("band")) == F.array_position("bands", F.element_at(F.array_intersect("bands", "__bands"), 1))
     unlike = (F.col("root") != F.col("__root")) & ((F.col("root") == F.col("__top")) | (F.col("a") < F.col("node")))
-    rest = apart.join(split, (F.col("band") == F.col("__band")) & unlike & fit(F.col("size"), F.col("__size")) & once)
+    differ = sum(F.bit_count(F.col("checks")[i].bitwiseXOR(F.col("__checks")[i])) for i in range(LANES))
+    close = (F.least("size", "__size") <= FEW) | (differ <= WIDE)
+    rest = apart.join(split, (F.col("band") == F.col("__band")) & unlike & fit(F.col("size"), F.col("__size")) & close & once)
     pairs = rest.select("a", F.col("node").alias("b"))
     return first.unionByName(verified(cut(pairs), sets, similarity))
 
@@ -423,7 +506,7 @@ def grouped(marks: DataFrame, linked: Callable[[DataFrame], DataFrame], key: str
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group stays: one with the smallest key, nulls last. Rows that repeat a key, or have none, are told apart by their texts.
 
-    Texts link if their sets of word shingles have the Jaccard similarity. Bands of minima propose what is compared.
+    Texts link if their sets of word shingles have the Jaccard similarity. Golay keys of the sets' fingerprints propose what is compared.
     """
     marks, named, _ = set_classes(docs.select(key, text), key, text, words, similarity)
     own, of, node = (free(docs, n) for n in ("own", "of", "node"))

@@ -3,7 +3,9 @@
 import math
 import random
 from collections import Counter, defaultdict
+from functools import reduce
 from hashlib import sha256
+from operator import xor
 from pathlib import Path
 
 import numpy as np
@@ -305,6 +307,62 @@ def test_rows_without_an_own_key_stay_if_their_texts_differ(spark):
     assert Counter(map(tuple, got)) == Counter({(None, prose(21, 60)), (None, prose(22, 60)), (4, prose(23, 60)), (4, prose(24, 60)), (4, prose(25, 60)), (9, prose(26, 60))})
 
 
+def codewords() -> list[int]:
+    return [reduce(xor, (simhash.GENERATOR << i for i in range(12) if m >> i & 1), 0) for m in range(1 << 12)]
+
+
+def test_near_dedup_meets_in_golay_codewords_of_simhash(spark):
+    """Keys of the stage against brute force: of the codewords within four bits of a segment, one that the fewest votes are against."""
+    texts = ["one", prose(31, 8), prose(32, 90), prose(33, 700)]
+    rows = {r["doc_id"]: r for r in simhash.set_marks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5).collect()}
+    words = codewords()
+    for i, text in enumerate(texts):
+        own = simhash.shingle_set(text.encode(), 5)
+        votes = [sum(1 if int(h) >> b & 1 else -1 for h in own) for b in range(64)]
+        assert rows[i]["checks"][0] % (1 << 64) == sum(1 << b for b, v in enumerate(votes) if v > 0)
+        for segment in range(2):
+            part = votes[segment * 23 : segment * 23 + 23]
+            cost = {}
+            for w in words:
+                against = [abs(v) for b, v in enumerate(part) if (v > 0) != bool(w >> b & 1)]
+                if len(against) <= 4:
+                    cost[w >> 11] = sum(against)
+            key = rows[i]["keys"][segment]
+            assert key >> 12 == segment and cost[key & 4095] == min(cost.values())
+
+
+def test_golay_keys_meet_at_the_similarity():
+    rng = np.random.default_rng(12)
+    for both, a, b in ((4, 0, 1), (8, 1, 1), (8, 0, 2), (160, 20, 20), (160, 0, 40)):
+        sets = [rng.integers(0, 1 << 64, both + a + b, dtype=np.uint64) for _ in range(500)]
+        (keys, checks), (others, others_checks) = (simhash.segment_keys([np.sort(s[own]) for s in sets]) for own in (slice(both + a), [*range(both), *range(both + a, both + a + b)]))
+        assert (keys == others).any(axis=1).all()
+        differ = np.bitwise_count(checks ^ others_checks)
+        assert (differ[:, : simhash.CHECK].sum(axis=1) <= simhash.APART).all()
+        assert both <= simhash.FEW or (differ.sum(axis=1) <= simhash.WIDE).all()
+
+
+def test_rows_of_a_key_find_what_is_near(monkeypatch):
+    """Short and long runs against brute force."""
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 5, 700)).astype(np.int32)
+    sizes = rng.integers(50, 100, 700).astype(np.int32)
+    order = np.lexsort((sizes, keys))
+    sizes, checks = sizes[order], rng.integers(0, 1 << 63, (700, simhash.CHECK), dtype=np.uint64)
+    for i in range(0, 600, 9):
+        checks[i] = checks[i + int(rng.integers(1, 60))] ^ np.uint64(0b1011)
+    near = np.bitwise_count(checks[:, None] ^ checks[None]).sum(axis=2) <= simhash.APART
+    near &= (keys[:, None] == keys[None]) & ~np.eye(700, dtype=bool)
+    fits = np.minimum(sizes[:, None], sizes[None]) >= 0.8 * np.maximum(sizes[:, None], sizes[None])
+    want = (near & fits).any(axis=1)
+    assert 20 < want.sum() < 200 and (want != near.any(axis=1)).any()
+    assert (simhash.partnered(keys, sizes, checks, 0.8) == want).all()
+    monkeypatch.setattr(simhash, "LONG", 20)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    found = simhash.partnered(keys, sizes, checks, 0.8)
+    assert (found >= want).all() and (found <= near.any(axis=1)).all()
+
+
 def test_a_wanted_set_is_copied(spark, monkeypatch):
     """Many pairs of one text: all keep both sets, whatever is copied."""
     pairs = spark.createDataFrame([(1, i) for i in range(2, 4000)] + [(i, 9000) for i in range(5, 3000)], "a long, b long")
