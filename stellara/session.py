@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed value: whether Spark deletes a query's shuffle files when it is over, and not when the driver happens to collect its garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all machines share. Where it is unset, a session on one machine gets a folder of its own;
@@ -22,9 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: what comes after reads files, whatever executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Checkpoint in the shared folder: what comes after reads files, whatever executors are lost. What was shuffled for it is deleted."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: df, if read again, has its shuffles still
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,14 +1,16 @@
+import time
 from datetime import date
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from stellara.operators.predicates import EQ, EQ_OR_EQ, GT_AND_LE, LE
 from stellara.plans import ssb
 from stellara.plans.script import parse, parse_predicate
 from stellara.plans.star import run, run_script
 from stellara.run import parts
-from stellara.session import shared_folder
+from stellara.session import SWEEP, cut, shared_folder
 from stellara.sources import parameters, store
 from stellara.sources.views import Star
 
@@ -101,6 +103,21 @@ def test_a_cluster_needs_a_shared_folder():
         shared_folder(SimpleNamespace(sparkContext=sc))
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    def shuffled():
+        jvm = spark._jvm
+        found = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+        return {f.getName() for f in found if f.getName().startswith("shuffle_")}
+
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, held, end = shuffled(), cut(counted.repartition(5)), time.monotonic() + 10
+    while (left := shuffled() - before) and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(SWEEP, None) is None
+    assert sorted(held.collect()) == sorted(counted.collect()) == sorted(counted.collect())
+    assert shuffled() - before  # other plans keep theirs
+
+
 def test_parameters():
     with pytest.warns(UserWarning, match="nothing"):
         p = parameters.parse(["part_size:64", "data_path:/x:y", "nothing:1"])
