@@ -454,7 +454,8 @@ def set_links(docs: DataFrame, marks: DataFrame, classes: DataFrame, key: str, t
     shares = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("__n")).groupBy("band").agg(F.max(F.struct("__n", "root")).alias("__most"), F.count(F.lit(1)).alias("__roots"))
     split = cut(placed.join(shares.where("__roots > 1").select("band", F.col("__most.root").alias("__top")), "band"))
     spelt_whole = marks.dropDuplicates(["node"]).select(F.col("node").alias("__of"), F.col("keys").alias("bands"), "checks")
-    split = split.join(spelt_whole, F.col("node") == F.col("__of")).drop("__of")
+    at = split.groupBy("node", "size", "root").agg(F.collect_list(F.struct("band", "__top")).alias("__at"))  # a row for each node, of KEYS bands at most
+    split = at.join(spelt_whole, F.col("node") == F.col("__of")).select("node", "size", "root", "bands", "checks", F.inline("__at"))
     apart = split.where(F.col("root") != F.col("__top")).select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("size").alias("__size"), F.col("root").alias("__root"), F.col("bands").alias("__bands"), F.col("checks").alias("__checks"))
     once = F.array_position("bands", F.col("band")) == F.array_position("bands", F.element_at(F.array_intersect("bands", "__bands"), 1))
     unlike = (F.col("root") != F.col("__root")) & ((F.col("root") == F.col("__top")) | (F.col("a") < F.col("node")))
